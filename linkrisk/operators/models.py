@@ -43,3 +43,120 @@ def scale_columns(df: DataFrame, scaler: DataFrame, cols: list[str] = FEATURE_CO
                           / F.col(f"_sc_{c}.std")).alias(c) for c in cols])
         return out
     return out.drop(*[f"_sc_{c}" for c in cols])
+
+
+# ---------------------------------------------------------------- training
+
+def assemble(df: DataFrame, cols: list[str] = FEATURE_COLS, out: str = "features") -> DataFrame:
+    """B1: fixed-order feature vector."""
+    from pyspark.ml.feature import VectorAssembler
+    return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="keep").transform(df)
+
+
+def with_class_weights(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
+    """Balanced weights n / (2 * n_class): the weights sum to n."""
+    c = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
+    tot = df.agg(F.count(F.lit(1)).alias("_n"))
+    w = c.crossJoin(tot).select(label, (F.col("_n") / (F.lit(2.0) * F.col("_nc"))).alias(out))
+    return df.join(F.broadcast(w), label)  # one row per class
+
+
+def estimators(n_rows: int, label: str = "label", features: str = "features", weight: str = "weight",
+               seed: int = 42, fast: bool = False) -> dict:
+    """The three model families with the original hyper-parameters.
+
+    ``fast`` shrinks the ensembles (for smoke tests only).
+    """
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+    c = 0.1
+    lr = LogisticRegression(featuresCol=features, labelCol=label, weightCol=weight, maxIter=1000, tol=1e-4,
+                            regParam=1.0 / (c * max(n_rows, 1)), elasticNetParam=0.0, standardization=False)
+    rf = RandomForestClassifier(featuresCol=features, labelCol=label, weightCol=weight,
+                                numTrees=20 if fast else 200, maxDepth=8 if fast else 15,
+                                minInstancesPerNode=5, maxBins=256, seed=seed)
+    gbt = GBTClassifier(featuresCol=features, labelCol=label, weightCol=weight, maxIter=10 if fast else 100,
+                        maxDepth=4, stepSize=0.05, subsamplingRate=0.7, featureSubsetStrategy="0.8", seed=seed)
+    return {"logistic_regression": lr, "random_forest": rf, "xgboost": gbt}
+
+
+def score(df: DataFrame, model, out: str = "rf_score", pred: str = "pred") -> DataFrame:
+    """P(phishing) and the 0.5-cut prediction as plain columns."""
+    from pyspark.ml.functions import vector_to_array
+    t = model.transform(df)
+    t = t.withColumn(out, vector_to_array("probability")[1]).withColumn(pred, F.col("prediction").cast("int"))
+    return t.drop("rawPrediction", "probability", "prediction")
+
+
+def train_compare(train: DataFrame, test: DataFrame, label: str = "label", models: dict | None = None,
+                  fast: bool = False):
+    """I4: fit every estimator on the cached training frame, evaluate on the
+    holdout (D7 + D9 exact), return (fitted models, metrics DataFrame)."""
+    from linkrisk.operators.metrics import binary_metrics, roc_auc
+    spark = train.sparkSession
+    tr = with_class_weights(assemble(train), label).cache()
+    te = assemble(test)
+    n = tr.count()
+    models = models or estimators(n, label, fast=fast)
+    fitted, rows = {}, []
+    for i, (name, est) in enumerate(models.items()):
+        m = est.fit(tr)
+        fitted[name] = m
+        s = score(te, m, "p1", "pred").select(label, "p1", "pred").cache()
+        bm = binary_metrics(s, label, "pred").first().asDict()
+        auc = roc_auc(s, label, "p1").first()["auc"]
+        s.unpersist()
+        rows.append((i, name, bm["accuracy"], bm["precision"], bm["recall"], bm["f1"], bm["fpr"],
+                     int(bm["fp"]), int(bm["fn"]), float(auc) if auc is not None else None))
+    tr.unpersist()
+    metrics = spark.createDataFrame(rows, "ordinal int, model string, accuracy double, precision double, "
+                                          "recall double, f1 double, fpr double, fp long, fn long, auc double")
+    return fitted, metrics
+
+
+def cross_validate(df: DataFrame, estimator, folds: DataFrame | None = None, k: int = 5,
+                   label: str = "label") -> DataFrame:
+    """Per-fold F1 on stratified folds (E2); summary via metrics.cv_summary."""
+    from linkrisk.operators.metrics import binary_metrics
+    from linkrisk.operators.split import stratified_folds
+    spark = df.sparkSession
+    f = (folds if folds is not None else stratified_folds(df, label, k)).cache()
+    rows = []
+    for i in range(k):
+        tr = with_class_weights(assemble(f.filter(F.col("fold") != i)), label)
+        te = assemble(f.filter(F.col("fold") == i))
+        m = estimator.fit(tr)
+        bm = binary_metrics(score(te, m, "p1", "pred"), label, "pred").first()
+        rows.append((i, float(bm["f1"])))
+    f.unpersist()
+    return spark.createDataFrame(rows, "fold int, f1 double")
+
+
+def importances(model, cols: list[str] = FEATURE_COLS, spark=None) -> DataFrame:
+    """Tree feature importances, sorted descending."""
+    from pyspark.sql import SparkSession
+    spark = spark or SparkSession.getActiveSession()
+    imp = model.featureImportances.toArray().tolist()
+    return spark.createDataFrame([(c, float(v)) for c, v in zip(cols, imp)], "feature string, importance double") \
+        .orderBy(F.desc("importance"), "feature")
+
+
+def evaluation_report(metrics: DataFrame, best: str, thresholds: tuple[float, float], cost_t: float | None,
+                      n_fp: int, n_fn: int) -> DataFrame:
+    """I16: the evaluation report as (section, metric, value) rows."""
+    spark = metrics.sparkSession
+    rows = [("best", "model", best)]
+    b = metrics.filter(F.col("model") == best).first()
+    if b is not None:
+        for k in ("accuracy", "precision", "recall", "f1", "auc", "fpr"):
+            rows.append(("best", k, f"{b[k]:.4f}" if b[k] is not None else ""))
+    rows += [("thresholds", "dangerous", str(thresholds[0])), ("thresholds", "suspicious", str(thresholds[1])),
+             ("thresholds", "cost_optimal", f"{cost_t:.2f}" if cost_t is not None else "")]
+    for r in metrics.orderBy("ordinal").collect():  # one row per model
+        rows.append(("models", r["model"], f"F1={r['f1']:.4f} AUC={(r['auc'] or 0):.4f} FPR={r['fpr']:.4f}"))
+    rows += [("errors", "false_positives", str(n_fp)), ("errors", "false_negatives", str(n_fn))]
+    return spark.createDataFrame(rows, "section string, metric string, value string")
+
+
+def save_model(model, path: str) -> None:
+    """Persist a fitted model (overwrite)."""
+    model.write().overwrite().save(path)
