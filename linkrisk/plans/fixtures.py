@@ -21,7 +21,12 @@ def _s(c: str):
 
 
 def url_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    return corpus_from_lineitem(read_table(spark, sf_dir, "lineitem"))
+
+
+def corpus_from_lineitem(lineitem: DataFrame) -> DataFrame:
+    """The url_corpus projection of a (batch or streaming) lineitem frame."""
+    li = lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
     shape = F.col("l_orderkey") % 10
     url = (
         F.when(shape == 0, F.concat(F.lit("https://www.google.com/search?q="), _s("l_partkey")))

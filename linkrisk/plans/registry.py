@@ -22,7 +22,7 @@ def build() -> tuple[dict[str, QueryFn], dict[str, str]]:
 def _optional_modules():
     import importlib
     out = []
-    for name in ["dataset_queries", "metric_queries", "scanlog_queries", "model_queries"]:
+    for name in ["dataset_queries", "scanlog_queries", "model_queries", "stream_queries"]:
         try:
             out.append(importlib.import_module(f"linkrisk.plans.{name}"))
         except ModuleNotFoundError as e:  # module not written yet
