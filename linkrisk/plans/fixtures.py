@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkrisk.session import read_table
+from linkrisk.session import read_table, spread_scan
 
 
 def _s(c: str):
@@ -21,7 +21,8 @@ def _s(c: str):
 
 
 def url_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_from_lineitem(read_table(spark, sf_dir, "lineitem"))
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    return corpus_from_lineitem(spread_scan(li))
 
 
 def corpus_from_lineitem(lineitem: DataFrame) -> DataFrame:
@@ -82,4 +83,4 @@ def labelled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "pages").select("page_id", "url")
+    return spread_scan(read_table(spark, sf_dir, "pages").select("page_id", "url"))

@@ -66,3 +66,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Spread a source scan over the cluster when it has fewer input splits
+    than task slots (e.g. one Parquet row group feeding CPU-heavy per-row
+    work). Cluster-sized inputs have far more splits and are left as they are.
+    Only call on a plain scan (its partition count needs no job).
+    """
+    if df.isStreaming:
+        return df
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(2 * slots)
+    return df
