@@ -72,7 +72,7 @@ def rank_in_hash_order(df: DataFrame, key: Column, group_cols: list[str], out: s
     return d.withColumn(out, F.col("_before") + F.row_number().over(w)).drop("_k", "_b", "_bn", "_before")
 
 
-def test_quota(n: Column, frac: float = 0.2) -> Column:
+def holdout_quota(n: Column, frac: float = 0.2) -> Column:
     """round(frac * n) with integer arithmetic (frac given in tenths)."""
     tenths = int(round(frac * 10))
     return F.floor((F.lit(2 * tenths) * n + F.lit(10)) / F.lit(20)).cast("long")
@@ -84,7 +84,7 @@ def stratified_split(df: DataFrame, label: str = "label", frac: float = 0.2, see
     hash order of (seed, key)."""
     n = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     d = df.join(F.broadcast(n), label)  # one row per label: bounded
-    out = first_in_hash_order(d, hash_key(seed, *key_cols), test_quota(F.col("_n"), frac), [label], "is_test")
+    out = first_in_hash_order(d, hash_key(seed, *key_cols), holdout_quota(F.col("_n"), frac), [label], "is_test")
     return out.drop("_n")
 
 
@@ -100,3 +100,13 @@ def seeded_sample(df: DataFrame, n: int, seed: int = 42, key_cols: tuple[str, ..
     d = df.withColumn("_g", F.lit(0))
     out = first_in_hash_order(d, hash_key(f"sample{seed}", *key_cols), F.lit(n), ["_g"], "_in")
     return out.filter("_in").drop("_in", "_g")
+
+
+def holdout_rows(features: DataFrame, split: DataFrame, key: str = "url") -> DataFrame:
+    """The rows of a persisted split marked as test, by key (equi-join)."""
+    return features.join(split.filter(F.col("is_test")).select(key), key, "left_semi")
+
+
+def with_shuffle_key(df: DataFrame, seed: int = 42, key_cols: tuple[str, ...] = ("url",)) -> DataFrame:
+    """a seeded order key for readers that want a shuffled order."""
+    return df.withColumn("shuffle_key", hash_key(f"shuffle{seed}", *key_cols))

@@ -145,6 +145,15 @@ def q_linear_shap(spark, sf_dir):
     return X.top_reasons(sh, 5).select("url", "label", *[f"phi_{c}" for c in FEATURE_COLS], "reasons")
 
 
+def q_linear_top_reasons(spark, sf_dir):
+    """E4 (+E7, H29) on the linear contributions: one row per (url, rank)."""
+    r = q_linear_shap(spark, sf_dir).withColumn("bar", X.bar_shares("reasons"))
+    z = F.explode(F.arrays_zip(F.sequence(F.lit(1), F.size("reasons")).alias("rank"), F.col("reasons").alias("r"),
+                               F.col("bar").alias("bar_pct"))).alias("z")
+    return r.select("url", z).select("url", "z.rank", "z.r.feature", "z.r.text_en", "z.r.contribution",
+                                     "z.r.direction", "z.bar_pct")
+
+
 def q_evaluation_report(spark, sf_dir):
     fitted, metrics = trained(spark, sf_dir)
     best = M.select_best(metrics, "ordinal").first()["model"]
@@ -281,6 +290,7 @@ def register(qs: dict, sql: dict) -> None:
         ("feature_importance", q_feature_importance), ("cv_scores", q_cv_scores), ("tree_shap", q_tree_shap),
         ("shap_importance", q_shap_importance), ("top_reasons", q_top_reasons), ("error_table", q_error_table),
         ("error_reasons", q_error_reasons), ("linear_shap", q_linear_shap),
+        ("linear_top_reasons", q_linear_top_reasons),
         ("evaluation_report", q_evaluation_report), ("kmeans_campaigns", q_kmeans_campaigns),
         ("choose_k", q_choose_k), ("dbscan_compare", q_dbscan_compare), ("pca_2d", q_pca_2d),
     ]:

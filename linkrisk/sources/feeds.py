@@ -54,9 +54,17 @@ def read_ranked_domains(spark: SparkSession, path: str) -> DataFrame:
 
 def read_verified_csv(spark: SparkSession, path: str) -> DataFrame:
     """A4: CSV with header, malformed lines dropped; URL column picked by name."""
-    df = spark.read.option("header", True).option("mode", "DROPMALFORMED").csv(path)
-    col = url_column(df.columns)
-    return df.select(F.col(col).cast("string").alias("url")).filter(F.col("url").isNotNull())
+    # With CSV column pruning Spark parses only the selected column and never
+    # sees the extra fields of a bad line; detection needs every field parsed.
+    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
+    cols = spark.read.option("header", True).csv(path).columns  # header only
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in cols]
+                          + [T.StructField("_corrupt", T.StringType())])
+    df = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
+          .option("columnNameOfCorruptRecord", "_corrupt").csv(path))
+    col = url_column(cols)
+    # lines with a wrong field count are corrupt records: skipped
+    return df.filter(F.col("_corrupt").isNull()).select(F.col(col).alias("url")).filter(F.col("url").isNotNull())
 
 
 FEED_SCHEMA = T.StructType([T.StructField("url", T.StringType()), T.StructField("verified", T.StringType()),
