@@ -93,7 +93,8 @@ def train_compare(train: DataFrame, test: DataFrame, label: str = "label", model
     holdout (D7 + D9 exact), return (fitted models, metrics DataFrame)."""
     from linkrisk.operators.metrics import binary_metrics, roc_auc
     spark = train.sparkSession
-    tr = with_class_weights(assemble(train), label).cache()
+    from linkrisk.session import cut_lineage
+    tr = cut_lineage(with_class_weights(assemble(train), label))
     te = assemble(test)
     n = tr.count()
     models = models or estimators(n, label, fast=fast)
@@ -107,7 +108,6 @@ def train_compare(train: DataFrame, test: DataFrame, label: str = "label", model
         s.unpersist()
         rows.append((i, name, bm["accuracy"], bm["precision"], bm["recall"], bm["f1"], bm["fpr"],
                      int(bm["fp"]), int(bm["fn"]), float(auc) if auc is not None else None))
-    tr.unpersist()
     metrics = spark.createDataFrame(rows, "ordinal int, model string, accuracy double, precision double, "
                                           "recall double, f1 double, fpr double, fp long, fn long, auc double")
     return fitted, metrics
@@ -119,7 +119,8 @@ def cross_validate(df: DataFrame, estimator, folds: DataFrame | None = None, k:
     from linkrisk.operators.metrics import binary_metrics
     from linkrisk.operators.split import stratified_folds
     spark = df.sparkSession
-    f = (folds if folds is not None else stratified_folds(df, label, k)).cache()
+    from linkrisk.session import cut_lineage
+    f = cut_lineage(folds if folds is not None else stratified_folds(df, label, k))
     rows = []
     for i in range(k):
         tr = with_class_weights(assemble(f.filter(F.col("fold") != i)), label)
@@ -127,7 +128,6 @@ def cross_validate(df: DataFrame, estimator, folds: DataFrame | None = None, k:
         m = estimator.fit(tr)
         bm = binary_metrics(score(te, m, "p1", "pred"), label, "pred").first()
         rows.append((i, float(bm["f1"])))
-    f.unpersist()
     return spark.createDataFrame(rows, "fold int, f1 double")
 
 

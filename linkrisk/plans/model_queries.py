@@ -21,7 +21,7 @@ from linkrisk.operators import models as Mo
 from linkrisk.operators import split as S
 from linkrisk.plans import oracle_sql as O
 from linkrisk.plans.dataset_queries import merged_features
-from linkrisk.session import read_table
+from linkrisk.session import cut_lineage, read_table
 
 _MEMO: dict = {}
 EMB_EPS = 1.25
@@ -31,9 +31,10 @@ def prepared(spark, sf_dir) -> dict:
     """Featurised merged dataset, split, scaler, scaled train/test (cached)."""
     key = ("prep", sf_dir, id(spark))
     if key not in _MEMO:
-        f = S.stratified_split(merged_features(spark, sf_dir)).cache()
-        sc = Mo.fit_scaler(f.filter(~F.col("is_test"))).cache()
-        z = Mo.scale_columns(f, sc).cache()
+        # iterative fits run many jobs: cut lineage once (reliable checkpoint)
+        f = cut_lineage(S.stratified_split(merged_features(spark, sf_dir)))
+        sc = cut_lineage(Mo.fit_scaler(f.filter(~F.col("is_test"))))
+        z = cut_lineage(Mo.scale_columns(f, sc))
         _MEMO[key] = {"features": f, "scaler": sc, "scaled": z,
                       "train": z.filter(~F.col("is_test")), "test": z.filter(F.col("is_test"))}
     return _MEMO[key]
@@ -178,8 +179,8 @@ def _phishing_points(spark, sf_dir) -> DataFrame:
 def _campaign_fit(spark, sf_dir):
     key = ("campaign", sf_dir, id(spark))
     if key not in _MEMO:
-        pts = _phishing_points(spark, sf_dir).cache()
-        sample = S.seeded_sample(pts, 3000, key_cols=("url",)).cache()
+        pts = cut_lineage(_phishing_points(spark, sf_dir))
+        sample = cut_lineage(S.seeded_sample(pts, 3000, key_cols=("url",)))
         k, scores = C.choose_k(sample, "url", C.offline_candidates())
         model = C.fit_kmeans(pts, k)
         assigned = C.renumber_by_size(C.assign_nearest(pts, C.centroid_table(model)))
