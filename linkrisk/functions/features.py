@@ -23,7 +23,7 @@ from linkrisk.constants import (
     SUSPICIOUS_TLDS, SUSPICIOUS_WORDS,
 )
 from linkrisk.functions.suffix import with_registered_domain
-from linkrisk.functions.urlparts import drop_parts, with_url_parts
+from linkrisk.functions.urlparts import drop_parts, part_names, stage, with_url_parts
 
 _DIGIT = r"\p{Nd}"
 _IPV4 = r"^\p{Nd}{1,3}(?:\.\p{Nd}{1,3}){3}$"
@@ -65,6 +65,10 @@ def shannon_entropy(c: Column) -> Column:
     return F.when(F.coalesce(n, F.lit(0)) == 0, F.lit(0.0)).otherwise(F.greatest(h, F.lit(0.0)))
 
 
+def _least_lev(label_sql: str) -> str:
+    return "least(" + ", ".join(f"levenshtein({label_sql}, '{b}')" for b in BRAND_NAMES) + ")"
+
+
 def _any(cols: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, cols)
 
@@ -84,25 +88,24 @@ def with_url_features(df: DataFrame, url_col: str = "url", keep_parts: bool = Fa
     host, path, query = F.col("u_host"), F.col("u_path"), F.col("u_query")
     bad = F.col("u_bad_netloc") | url.isNull()
 
-    # stage A: host label and stem (reused by 64 edit distances)
-    df = df.select(
-        "*",
-        F.substring_index(host, ".", 1).alias("f_base"),
+    # stage A: first host label, its hyphen stem and their 64 edit distances
+    # (long lists are written as one SQL expression: one client call each)
+    b_sql = "substring_index(u_host, '.', 1)"
+    s_sql = f"substring_index({b_sql}, '-', 1)"
+    df = stage(df, [
+        F.expr(b_sql).alias("f_base"),
         F.concat(path, query).alias("f_pq"),
-    )
+        F.regexp_extract(host, r"(?s)^(.*)\.[^.]*\.[^.]*$", 1).alias("f_sub"),
+        F.expr(_least_lev(b_sql)).alias("f_base_min"),
+        F.expr(f"CASE WHEN {b_sql} LIKE '%-%' AND {s_sql} <> '' THEN {_least_lev(s_sql)} END").alias("f_stem_min"),
+    ])
     base = F.col("f_base")
     stem = F.substring_index(base, "-", 1)
     stem_ok = base.contains("-") & (stem != "")
-    df = df.select(
-        "*",
-        F.least(*[F.levenshtein(base, F.lit(b)) for b in BRAND_NAMES]).alias("f_base_min"),
-        F.when(stem_ok, F.least(*[F.levenshtein(stem, F.lit(b)) for b in BRAND_NAMES])).alias("f_stem_min"),
-    )
     base_min, stem_min = F.col("f_base_min"), F.col("f_stem_min")
     min_lev = F.when(base == "", F.lit(NO_HOST_DISTANCE)).otherwise(F.least(base_min, stem_min))
     pq_lower = F.lower(F.col("f_pq"))
     host_len = F.length(host)
-    subdomain = F.regexp_extract(host, r"(?s)^(.*)\.[^.]*\.[^.]*$", 1)
     last_seg = F.regexp_extract(path, r"(?s)([^/]+)/*$", 1)
 
     feats: dict[str, Column] = {
@@ -124,7 +127,8 @@ def with_url_features(df: DataFrame, url_col: str = "url", keep_parts: bool = Fa
         "hostname_length": host_len,
         "path_length": F.length(path),
         "double_slash": _b(path.contains("//")),
-        "num_suspicious_words": _sum([_b(pq_lower.contains(w)) for w in SUSPICIOUS_WORDS]),
+        "num_suspicious_words": F.expr(" + ".join(f"CAST(contains(lower(f_pq), '{w}') AS INT)"
+                                                  for w in SUSPICIOUS_WORDS)),
         "has_at_in_url": _b(url.contains("@")),
         "min_levenshtein": min_lev,
         "is_typosquat": _b(min_lev.between(1, 2) | (stem_ok & (F.coalesce(stem_min, F.lit(99)) <= 2))),
@@ -135,7 +139,8 @@ def with_url_features(df: DataFrame, url_col: str = "url", keep_parts: bool = Fa
         "num_params": F.when(query == "", F.lit(0)).otherwise(count_char(query, "&") + 1),
         "has_port": _b(F.coalesce(F.col("u_port_num"), F.lit(0)) != 0),
         "tld_suspicious": _b(F.lower(F.substring_index(host, ".", -1)).isin(SUSPICIOUS_TLDS)),
-        "brand_in_subdomain": _b(_any([subdomain.contains(b) for b in BRAND_NAMES])),
+        "brand_in_subdomain": F.expr("CAST(" + " OR ".join(f"contains(f_sub, '{b}')" for b in BRAND_NAMES)
+                                     + " AS INT)"),
     }
     out = []
     for name in BASE_FEATURE_COLS:
@@ -143,8 +148,8 @@ def with_url_features(df: DataFrame, url_col: str = "url", keep_parts: bool = Fa
         typ = "double" if name in DOUBLE_FEATURES else "int"
         out.append(F.when(bad, zero).otherwise(feats[name]).cast(typ).alias(name))
     out.append((bad | F.col("u_port_error")).alias("parse_error"))
-    df = df.select("*", *out).drop("f_base", "f_pq", "f_base_min", "f_stem_min")
-    return df if keep_parts else drop_parts(df, "u_")
+    drop = ("f_base", "f_pq", "f_sub", "f_base_min", "f_stem_min") + (() if keep_parts else part_names("u_"))
+    return stage(df, out, drop)
 
 
 def with_extra_features(df: DataFrame, url_col: str = "url", suffix_rules: DataFrame | None = None) -> DataFrame:
@@ -158,24 +163,22 @@ def with_extra_features(df: DataFrame, url_col: str = "url", suffix_rules: DataF
     df = with_url_parts(df, url_col, add_scheme=False, prefix="x_")
     host = F.regexp_replace(F.col("x_host"), r"\.+$", "")
     bad = F.col("x_bad_netloc") | url.isNull()
-    df = df.select("*", F.when(bad, F.lit("")).otherwise(host).alias("x_h"))
+    df = stage(df, [F.when(bad, F.lit("")).otherwise(host).alias("x_h")])
     df = with_registered_domain(df, "x_h", suffix_rules, prefix="x_")
     h = F.col("x_h")
     reg = F.lower(F.col("x_domain"))
-    chain = F.lit(0)
-    for b in reversed(BRAND_NAMES):  # first brand in list order decides
-        chain = F.when(h.contains(b), _b(reg != b)).otherwise(chain)
+    # the first brand (list order) contained in the host decides
+    chain = F.expr("CASE " + " ".join(f"WHEN contains(x_h, '{b}') THEN CAST(lower(x_domain) <> '{b}' AS INT)"
+                                      for b in BRAND_NAMES) + " ELSE 0 END")
     impersonation = F.when(
         (h == "") | F.col("x_host").rlike(_IPV4) | (F.col("x_suffix_len") == 0), F.lit(0)
     ).otherwise(chain)
     depth = F.when(bad, F.lit(0)).otherwise(F.regexp_count(F.col("x_path"), F.lit("[^/]+")))
-    df = df.select(
-        "*",
+    return stage(df, [
         F.when(url.isNull(), F.lit(0.0)).otherwise(round_even(shannon_entropy(url), 4)).alias("url_entropy"),
         impersonation.cast("int").alias("brand_impersonation"),
         depth.cast("int").alias("path_depth"),
-    )
-    return drop_parts(df, "x_").drop("x_h", "x_domain", "x_suffix_len")
+    ], part_names("x_") + ("x_h", "x_domain", "x_suffix_len"))
 
 
 def with_all_features(df: DataFrame, url_col: str = "url", suffix_rules: DataFrame | None = None) -> DataFrame:

@@ -51,11 +51,15 @@ def with_registered_domain(df: DataFrame, host_col: str, rules: DataFrame | None
     """Append ``{prefix}domain`` (label left of the suffix) and
     ``{prefix}suffix_len`` (labels in the suffix, 0 = none)."""
     spark = df.sparkSession
-    rules = rules if rules is not None else sample_rules(spark)
-    depth_row = rules.select(F.max(F.size(F.split(F.regexp_replace("rule", "^!", ""), r"\."))).alias("d")).first()
-    depth = int(depth_row["d"] or 1)
+    if rules is None:  # bundled sample: depth and size known without a job
+        rules = sample_rules(spark)
+        depth = max(len(r.lstrip("!").split(".")) for r in PUBLIC_SUFFIX_SAMPLE)
+        n_rules = len(PUBLIC_SUFFIX_SAMPLE)
+    else:
+        depth_row = rules.select(F.max(F.size(F.split(F.regexp_replace("rule", "^!", ""), r"\."))).alias("d")).first()
+        depth = int(depth_row["d"] or 1)
+        n_rules = rules.count()
     lookup = suffix_lookup(rules)
-    n_rules = lookup.count()
     lk = F.broadcast(lookup) if n_rules <= BROADCAST_MAX_RULES else lookup
 
     h = F.col(host_col)

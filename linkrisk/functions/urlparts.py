@@ -45,6 +45,12 @@ def _before_first(c: Column, sep: str) -> Column:
     return F.regexp_extract(c, "(?s)^([^" + e + "]*)", 1)
 
 
+def stage(df: DataFrame, new: list[Column], drop: tuple[str, ...] = ()) -> DataFrame:
+    """One projection: keep the columns not in ``drop`` and append ``new``
+    (a single plan step, so the client analyses the plan once per stage)."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in drop], *new)
+
+
 def with_url_parts(df: DataFrame, url_col: str = "url", add_scheme: bool = True,
                    prefix: str = "u_") -> DataFrame:
     """Append ``{prefix}scheme, netloc, host, port, path, query, fragment,
@@ -57,34 +63,31 @@ def with_url_parts(df: DataFrame, url_col: str = "url", add_scheme: bool = True,
     # stage 1: scheme and the rest
     df = df.select("*", s.alias(p + "s"))
     has_scheme = F.col(p + "s").rlike(_SCHEME_RE)
-    df = df.select(
-        "*",
+    df = stage(df, [
         F.when(has_scheme, F.lower(F.regexp_extract(F.col(p + "s"), "(" + _SCHEME_RE[:-1] + "):", 1)))
         .otherwise(F.lit("")).alias(p + "scheme"),
         F.when(has_scheme, F.regexp_replace(F.col(p + "s"), _SCHEME_RE, ""))
         .otherwise(F.col(p + "s")).alias(p + "rest"),
-    ).drop(p + "s")
+    ], (p + "s",))
 
     # stage 2: netloc and the remainder (path ? query # fragment)
     rest = F.col(p + "rest")
     has_net = rest.startswith("//")
-    df = df.select(
-        "*",
+    df = stage(df, [
         F.when(has_net, F.regexp_extract(rest, r"(?s)^//([^/?#]*)", 1)).otherwise(F.lit("")).alias(p + "netloc"),
         F.when(has_net, F.regexp_extract(rest, r"(?s)^//[^/?#]*(.*)$", 1)).otherwise(rest).alias(p + "tail"),
-    ).drop(p + "rest")
+    ], (p + "rest",))
 
     # stage 3: fragment, query, raw path, host info
     tail = F.col(p + "tail")
     net = F.col(p + "netloc")
     before_frag = _before_first(tail, "#")
-    df = df.select(
-        "*",
+    df = stage(df, [
         _after_first(tail, "#").alias(p + "fragment"),
         _before_first(before_frag, "?").alias(p + "path0"),
         _after_first(before_frag, "?").alias(p + "query"),
         F.regexp_extract(net, r"(?s)([^@]*)$", 1).alias(p + "hostinfo"),
-    ).drop(p + "tail")
+    ], (p + "tail",))
 
     # stage 4: host, port, path without params, parse errors
     hi = F.col(p + "hostinfo")
@@ -109,13 +112,12 @@ def with_url_parts(df: DataFrame, url_col: str = "url", add_scheme: bool = True,
         F.col(p + "scheme").isin(SCHEMES_WITH_PARAMS) & path0.contains(";"),
         F.regexp_replace(path0, r"(?s);[^/]*$", ""),
     ).otherwise(path0)
-    df = df.select(
-        "*",
+    df = stage(df, [
         path.alias(p + "path"),
         host_raw.alias(p + "host_raw"),
         port_raw.alias(p + "port"),
         (unbalanced | bad_bracket).alias(p + "bad_netloc"),
-    ).drop(p + "path0", p + "hostinfo")
+    ], (p + "path0", p + "hostinfo"))
 
     # stage 5: lowercase host (an IPv6 zone after '%' keeps its case), port check
     hr = F.col(p + "host_raw")
@@ -126,12 +128,11 @@ def with_url_parts(df: DataFrame, url_col: str = "url", add_scheme: bool = True,
     port = F.col(p + "port")
     port_val = F.expr(f"try_cast({p}port AS INT)")
     port_ok = (port == "") | (port.rlike("^[0-9]+$") & port_val.isNotNull() & (port_val <= 65535))
-    df = df.select(
-        "*",
+    df = stage(df, [
         host.alias(p + "host"),
         (~port_ok).alias(p + "port_error"),
         F.when(port_ok & (port != ""), port_val).alias(p + "port_num"),
-    ).drop(p + "host_raw")
+    ], (p + "host_raw",))
     return df
 
 
@@ -141,3 +142,7 @@ PART_COLUMNS = ["scheme", "netloc", "host", "port", "path", "query", "fragment",
 
 def drop_parts(df: DataFrame, prefix: str = "u_") -> DataFrame:
     return df.drop(*[prefix + c for c in PART_COLUMNS])
+
+
+def part_names(prefix: str) -> tuple[str, ...]:
+    return tuple(prefix + c for c in PART_COLUMNS)
