@@ -53,7 +53,7 @@ def q_length_histogram(spark, sf_dir):
     return D.length_histogram(merged(spark, sf_dir))
 
 
-SQL_LENGTH_HISTOGRAM = _msql("""SELECT s.label, b.bin,
+SQL_LENGTH_HISTOGRAM = _msql("""SELECT s.label, CAST(b.bin AS INTEGER) AS bin,
  CASE WHEN hi = lo THEN lo - 0.5E0 ELSE CAST(lo AS DOUBLE) END
    + CASE WHEN hi = lo THEN 1.0E0 ELSE CAST(hi - lo AS DOUBLE) END * b.bin / 50 AS bin_start,
  CASE WHEN hi = lo THEN lo - 0.5E0 ELSE CAST(lo AS DOUBLE) END
