@@ -3,9 +3,9 @@
 Every metric is an aggregation over (label, score/pred) that Spark combines
 map-side. Curves and sweeps first group rows by score (or by threshold
 bucket), so their windows run over a small table, never over raw rows; the
-ROC prefix sums additionally split that table into score-range buckets with
-broadcast offsets, so even a table of millions of distinct scores is not
-ranked in one task.
+ROC prefix sums additionally cut that table at approximate quantiles into
+ranges with broadcast offsets, so even millions of distinct scores crowded
+into a narrow interval are not ranked in one task.
 """
 
 from __future__ import annotations
@@ -86,14 +86,22 @@ def _score_groups(df: DataFrame, label: str, score: str) -> DataFrame:
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
 
 
-def _prefix_sums_desc(g: DataFrame, buckets: int = 4096) -> DataFrame:
+def _prefix_sums_desc(g: DataFrame, buckets: int = 1024) -> DataFrame:
     """Add pos_above / neg_above: totals over strictly higher scores.
 
-    Scores in [0, 1] are cut into range buckets; bucket totals get offsets via
-    a small window, rows within a bucket via a window per bucket.
+    ``g`` has one row per distinct score. Its scores are cut at approximate
+    quantiles (``buckets`` split points, a bounded list) into ranges of about
+    equal numbers of distinct scores, so no range task is hot even when the
+    scores crowd into a narrow interval. Range totals get offsets from a small
+    window; rows within a range from a window per range. Exact: the quantiles
+    only choose where to cut.
     """
-    b = F.least(F.greatest(F.floor(F.col("score") * buckets), F.lit(0)), F.lit(buckets)).cast("int")
-    g = g.withColumn("_rb", b)
+    from pyspark.ml.feature import Bucketizer
+    probs = [i / buckets for i in range(1, buckets)]
+    qs = sorted({q for q in g.approxQuantile("score", probs, 1.0 / (4 * buckets)) if q == q})
+    splits = [float("-inf")] + qs + [float("inf")]
+    g = Bucketizer(splits=splits, inputCol="score", outputCol="_rbd", handleInvalid="keep").transform(g)
+    g = g.withColumn("_rb", F.col("_rbd").cast("int")).drop("_rbd")
     bt = g.groupBy("_rb").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
     wb = Window.orderBy(F.desc("_rb")).rowsBetween(Window.unboundedPreceding, -1)
     bt = bt.select("_rb", F.coalesce(F.sum("_bp").over(wb), F.lit(0)).alias("_op"),
