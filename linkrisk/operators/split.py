@@ -16,8 +16,10 @@ Instead:
 Ranking every row (k-fold assignment) uses the same offsets plus a window per
 (group, bucket): 65,536 balanced partitions per group instead of one.
 
-Keys must be unique within a group for exactness of the boundary bucket's
-window to scale; the dataset these run on is de-duplicated by URL first.
+A hot key (one order key shared by many rows) never lands in one task: keys
+are placed by combinable per-key counts, and only the rows of the single key
+straddling the quota (or of duplicated keys when ranking) get positions, from
+per-partition offsets after a reliable checkpoint (``positions_within``).
 """
 
 from __future__ import annotations
@@ -43,33 +45,77 @@ def _bucket_offsets(df: DataFrame, group_cols: list[str]) -> DataFrame:
     return counts.withColumn("_before", F.coalesce(F.sum("_bn").over(w), F.lit(0)))
 
 
+def _key_offsets(df: DataFrame, group_cols: list[str]) -> DataFrame:
+    """(group, _k) -> _kn rows with that key, _kb rows of smaller keys in the
+    same bucket. A combinable aggregate: a hot key collapses map-side."""
+    kc = df.groupBy(*group_cols, "_b", "_k").agg(F.count(F.lit(1)).alias("_kn"))
+    w = Window.partitionBy(*group_cols, "_b").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    return kc.withColumn("_kb", F.coalesce(F.sum("_kn").over(w), F.lit(0))).drop("_b")
+
+
+def positions_within(df: DataFrame, part_cols: list[str], out: str = "_p") -> DataFrame:
+    """0-based position of each row within its ``part_cols`` group, skew-safe.
+
+    Rows keep the input partition they are in: after a reliable checkpoint
+    pins (partition id, row position), per-(group, partition) counts give
+    offsets and each row is numbered inside its (group, partition) -- a hot
+    group stays spread over its original partitions. Used only for rows that
+    tie on the order key, which are interchangeable for the selection.
+    """
+    from linkrisk.session import cut_lineage
+    s = cut_lineage(df.withColumn("_pid", F.spark_partition_id())
+                    .withColumn("_pos", F.monotonically_increasing_id()))
+    c = s.groupBy(*part_cols, "_pid").agg(F.count(F.lit(1)).alias("_pn"))
+    w = Window.partitionBy(*part_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    c = c.withColumn("_po", F.coalesce(F.sum("_pn").over(w), F.lit(0)))
+    j = s.join(c, part_cols + ["_pid"])
+    w2 = Window.partitionBy(*part_cols, "_pid").orderBy("_pos")
+    return j.withColumn(out, F.col("_po") + F.row_number().over(w2) - 1).drop("_pid", "_pos", "_pn", "_po")
+
+
 def first_in_hash_order(df: DataFrame, key: Column, quota: Column, group_cols: list[str],
-                        flag: str = "selected", tiebreak: list[str] | None = None) -> DataFrame:
+                        flag: str = "selected") -> DataFrame:
     """Add boolean ``flag``: row is among the first ``quota`` rows of its group
-    in ``key`` order. ``quota`` is an expression over ``group_cols`` columns
-    (e.g. a literal or a column joined from a per-group table)."""
-    tiebreak = tiebreak or []
-    d = df.withColumn("_k", key).withColumn("_b", F.substring("_k", 1, BUCKET_HEX)).withColumn("_q", quota)
+    in ``key`` order (rows with equal keys are interchangeable). ``quota`` is
+    an expression over ``group_cols`` columns (a literal or a joined column).
+    """
+    from linkrisk.session import cut_lineage
+    # one reliable checkpoint of the keyed input: every branch below reads it
+    d = cut_lineage(df.withColumn("_k", key).withColumn("_b", F.substring("_k", 1, BUCKET_HEX))
+                    .withColumn("_q", quota))
     offs = _bucket_offsets(d, group_cols)
-    d = d.join(F.broadcast(offs), group_cols + ["_b"], "left")
+    d = d.join(F.broadcast(offs), group_cols + ["_b"], "left")  # <= groups x 65,536 rows
     whole_in = d["_before"] + d["_bn"] <= d["_q"]
     whole_out = d["_before"] >= d["_q"]
     settled = d.filter(whole_in | whole_out).withColumn(flag, whole_in)
-    w = Window.partitionBy(*group_cols, "_b").orderBy("_k", *tiebreak)
-    edge = (d.filter(~(whole_in | whole_out))
-            .withColumn(flag, (F.col("_before") + F.row_number().over(w)) <= F.col("_q")))
-    return settled.unionByName(edge).drop("_k", "_b", "_q", "_bn", "_before")
-
-
-def rank_in_hash_order(df: DataFrame, key: Column, group_cols: list[str], out: str = "rank",
-                       tiebreak: list[str] | None = None) -> DataFrame:
-    """Exact 1-based rank of each row within its group in ``key`` order."""
-    tiebreak = tiebreak or []
-    d = df.withColumn("_k", key).withColumn("_b", F.substring("_k", 1, BUCKET_HEX))
+    # boundary bucket: whole keys are in or out by their offsets ...
+    edge = d.filter(~(whole_in | whole_out))
+    e = edge.join(_key_offsets(edge, group_cols), group_cols + ["_k"])
+    need = F.col("_q") - F.col("_before") - F.col("_kb")
+    placed = e.filter((need >= F.col("_kn")) | (need <= 0)).withColumn(flag, need >= F.col("_kn"))
+    # ... except the one key per group that straddles the quota
+    strad = e.filter((need > 0) & (need < F.col("_kn")))
+    strad = positions_within(strad, group_cols, "_p").withColumn(
+        flag, F.col("_p") < F.col("_q") - F.col("_before") - F.col("_kb")).drop("_p")
+    cols = [c for c in settled.columns]
+    out = settled.unionByName(placed.select(*cols)).unionByName(strad.select(*cols))
+    return out.drop("_k", "_b", "_q", "_bn", "_before")
+
+
+def rank_in_hash_order(df: DataFrame, key: Column, group_cols: list[str], out: str = "rank") -> DataFrame:
+    """Exact 1-based rank of each row within its group in ``key`` order (rows
+    with equal keys take consecutive ranks in an arbitrary order)."""
+    from linkrisk.session import cut_lineage
+    d = cut_lineage(df.withColumn("_k", key).withColumn("_b", F.substring("_k", 1, BUCKET_HEX)))
     offs = _bucket_offsets(d, group_cols)
     d = d.join(F.broadcast(offs), group_cols + ["_b"], "left")
-    w = Window.partitionBy(*group_cols, "_b").orderBy("_k", *tiebreak)
-    return d.withColumn(out, F.col("_before") + F.row_number().over(w)).drop("_k", "_b", "_bn", "_before")
+    e = d.join(_key_offsets(d, group_cols), group_cols + ["_k"])
+    base = F.col("_before") + F.col("_kb") + 1
+    single = e.filter(F.col("_kn") == 1).withColumn(out, base)
+    dup = positions_within(e.filter(F.col("_kn") > 1), group_cols + ["_k"], "_p").withColumn(
+        out, base + F.col("_p")).drop("_p")
+    cols = single.columns
+    return single.unionByName(dup.select(*cols)).drop("_k", "_b", "_bn", "_before", "_kn", "_kb")
 
 
 def holdout_quota(n: Column, frac: float = 0.2) -> Column:

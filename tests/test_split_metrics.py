@@ -109,3 +109,19 @@ def test_error_samples_first_n(labelled):
     assert (e.error_type.value_counts() <= 20).all()
     fp = pdf[(pdf.label == 0) & (pdf.score >= 0.5)].sort_values("url").url.head(20)
     assert set(e[e.error_type == "False Positive"].url) == set(fp)
+
+
+def test_hot_key_selection_is_exact(spark):
+    """One key holds a third of the rows and straddles the quota."""
+    rows = [(f"http://u{i}.example/", i % 2) for i in range(2000)] + [("http://hot.example/", 0)] * 1000
+    df = spark.createDataFrame(rows, "url string, label int").repartition(6)
+    hot_key = _md5("sample42:http://hot.example/")
+    keys = sorted([_md5("sample42:" + u) for u, _ in rows])
+    n = keys.index(hot_key) + 400  # the cut falls inside the hot key's 1,000 rows
+    got = S.seeded_sample(df, n).toPandas()
+    assert len(got) == n
+    assert (got.url == "http://hot.example/").sum() == 400
+    assert set(got.url) - {"http://hot.example/"} == {u for u, _ in rows if _md5("sample42:" + u) < hot_key}
+    r = S.rank_in_hash_order(df, S.hash_key(1, "url"), ["label"], "rank").toPandas()
+    for _, g in r.groupby("label"):
+        assert sorted(g["rank"]) == list(range(1, len(g) + 1))
