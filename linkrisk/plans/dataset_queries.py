@@ -152,6 +152,26 @@ SQL_VALIDATE = O.with_ctes(O.URL_CORPUS) + """SELECT url_id, trim(url) AS url,
  CASE WHEN url IS NULL OR trim(url) = '' THEN 'No URL provided' END AS reason FROM url_corpus"""
 
 
+def q_holdout_rows(spark, sf_dir):
+    """Feature rows of the persisted split's test side (semi-join by url)."""
+    split = S.stratified_split(merged(spark, sf_dir))
+    f = merged_features(spark, sf_dir).select("url", "label", "url_length", "num_dots", "has_https")
+    return S.holdout_rows(f, split)
+
+
+def _holdout_sql() -> str:
+    ctes, last = O.feature_ctes("merged", ["url", "label"], extras=False)
+    split = """sp AS (SELECT url FROM (SELECT url, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || url)) AS rn,
+ count(*) OVER (PARTITION BY label) AS n FROM merged) t WHERE rn <= floor((4 * n + 10) / 20))"""
+    return O.with_ctes(O.URL_CORPUS, *MERGED_SQL, *ctes, split) + f"""SELECT f.url, f.label, f.url_length, f.num_dots, f.has_https
+FROM {last} f WHERE f.url IN (SELECT url FROM sp)"""
+
+
+def q_shuffle_keys(spark, sf_dir):
+    """a seeded shuffle key per dataset row."""
+    return S.with_shuffle_key(merged(spark, sf_dir))
+
+
 def q_seeded_sample(spark, sf_dir):
     return S.seeded_sample(merged(spark, sf_dir), 3000, seed=42)
 
@@ -323,6 +343,10 @@ def register(qs: dict, sql: dict) -> None:
     sql["source_counts"] = SQL_SOURCE_COUNTS
     qs["validate_urls"] = q_validate_urls
     sql["validate_urls"] = SQL_VALIDATE
+    qs["holdout_rows"] = q_holdout_rows
+    sql["holdout_rows"] = _holdout_sql()
+    qs["shuffle_keys"] = q_shuffle_keys
+    sql["shuffle_keys"] = _msql("SELECT url, label, md5('shuffle42:' || url) AS shuffle_key FROM merged")
     qs["seeded_sample"] = q_seeded_sample
     sql["seeded_sample"] = SQL_SEEDED_SAMPLE
     qs["confusion"] = q_confusion

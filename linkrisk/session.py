@@ -76,7 +76,9 @@ def spread_scan(df: DataFrame) -> DataFrame:
     """
     if df.isStreaming:
         return df
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(2 * slots)
-    return df
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # sessions without RDD access: leave the plan as is
+        return df
+    return df.repartition(2 * slots) if splits < slots else df
