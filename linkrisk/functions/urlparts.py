@@ -35,14 +35,14 @@ _IPV4_RE = r"^\p{Nd}{1,3}(?:\.\p{Nd}{1,3}){3}$"
 
 
 def _after_first(c: Column, sep: str) -> Column:
-    """Text after the first ``sep`` ('' when absent)."""
-    e = "\\" + sep  # escaped separator, valid inside and outside a class
-    return F.regexp_extract(c, "(?s)^[^" + e + "]*" + e + "(.*)$", 1)
+    """Text after the first ``sep`` ('' when absent, NULL for NULL)."""
+    i = F.instr(c, sep)
+    return F.when(i > 0, c.substr(i + 1, F.length(c))).when(c.isNotNull(), F.lit(""))
 
 
 def _before_first(c: Column, sep: str) -> Column:
-    e = "\\" + sep
-    return F.regexp_extract(c, "(?s)^([^" + e + "]*)", 1)
+    """Text before the first ``sep`` (all of it when absent)."""
+    return F.substring_index(c, sep, 1)
 
 
 def stage(df: DataFrame, new: list[Column], drop: tuple[str, ...] = ()) -> DataFrame:
@@ -86,7 +86,7 @@ def with_url_parts(df: DataFrame, url_col: str = "url", add_scheme: bool = True,
         _after_first(tail, "#").alias(p + "fragment"),
         _before_first(before_frag, "?").alias(p + "path0"),
         _after_first(before_frag, "?").alias(p + "query"),
-        F.regexp_extract(net, r"(?s)([^@]*)$", 1).alias(p + "hostinfo"),
+        F.substring_index(net, "@", -1).alias(p + "hostinfo"),
     ], (p + "tail",))
 
     # stage 4: host, port, path without params, parse errors
