@@ -27,9 +27,15 @@ _MEMO: dict = {}
 EMB_EPS = 1.25
 
 
+def _memo_key(kind: str, spark, sf_dir: str) -> tuple:
+    """Memo key bound to the running application (a new session or context
+    never sees frames of a stopped one)."""
+    return (kind, sf_dir, spark.sparkContext.applicationId, id(spark))
+
+
 def prepared(spark, sf_dir) -> dict:
     """Featurised merged dataset, split, scaler, scaled train/test (cached)."""
-    key = ("prep", sf_dir, id(spark))
+    key = _memo_key("prep", spark, sf_dir)
     if key not in _MEMO:
         # iterative fits run many jobs: cut lineage once (reliable checkpoint)
         f = cut_lineage(S.stratified_split(merged_features(spark, sf_dir)))
@@ -41,7 +47,7 @@ def prepared(spark, sf_dir) -> dict:
 
 
 def trained(spark, sf_dir) -> tuple[dict, DataFrame]:
-    key = ("models", sf_dir, id(spark))
+    key = _memo_key("models", spark, sf_dir)
     if key not in _MEMO:
         p = prepared(spark, sf_dir)
         fitted, metrics = Mo.train_compare(p["train"], p["test"])
@@ -96,7 +102,7 @@ def _shap_sample(spark, sf_dir, n: int = 500) -> DataFrame:
 
 
 def tree_shap_values(spark, sf_dir) -> DataFrame:
-    key = ("shap", sf_dir, id(spark))
+    key = _memo_key("shap", spark, sf_dir)
     if key not in _MEMO:
         fitted, _ = trained(spark, sf_dir)
         _MEMO[key] = X.tree_shap(_shap_sample(spark, sf_dir), fitted["random_forest"], ["url", "label"]).cache()
@@ -177,7 +183,7 @@ def _phishing_points(spark, sf_dir) -> DataFrame:
 
 
 def _campaign_fit(spark, sf_dir):
-    key = ("campaign", sf_dir, id(spark))
+    key = _memo_key("campaign", spark, sf_dir)
     if key not in _MEMO:
         pts = cut_lineage(_phishing_points(spark, sf_dir))
         sample = cut_lineage(S.seeded_sample(pts, 3000, key_cols=("url",)))
