@@ -231,9 +231,9 @@ def q_class_report(spark, sf_dir):
 SQL_CLASS_REPORT = _ssql("""SELECT cls, round_even(precision * 1e12, 0) / 1e12 AS precision, round_even(recall * 1e12, 0) / 1e12 AS recall,
  round_even(f1 * 1e12, 0) / 1e12 AS f1, support FROM (
  SELECT cls, precision, recall, f1, support FROM per
- UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM per
+ UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM per
  UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
-   sum(f1 * support) / sum(support), sum(support) FROM per) t""", COUNTS, """per AS (
+   sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM per) t""", COUNTS, """per AS (
  SELECT cls, CASE WHEN a + b = 0 THEN 0.0E0 ELSE a / (a + b) END AS precision,
         CASE WHEN a + c = 0 THEN 0.0E0 ELSE a / (a + c) END AS recall,
         CASE WHEN 2 * a + b + c = 0 THEN 0.0E0 ELSE 2 * a / (2 * a + b + c) END AS f1, CAST(a + c AS BIGINT) AS support
@@ -280,9 +280,10 @@ def _grid_sql() -> str:
 
 
 def _sweep_sql_ctes() -> list[str]:
-    return [_grid_sql(), """sw AS (SELECT threshold, count_if(label = 1 AND raw_score >= threshold) AS tp,
- count_if(label = 0 AND raw_score >= threshold) AS fp, count_if(label = 1 AND raw_score < threshold) AS fn,
- count_if(label = 0 AND raw_score < threshold) AS tn FROM grid CROSS JOIN sc GROUP BY threshold)"""]
+    return [_grid_sql(), """sw AS (SELECT threshold, CAST(count_if(label = 1 AND raw_score >= threshold) AS BIGINT) AS tp,
+ CAST(count_if(label = 0 AND raw_score >= threshold) AS BIGINT) AS fp,
+ CAST(count_if(label = 1 AND raw_score < threshold) AS BIGINT) AS fn,
+ CAST(count_if(label = 0 AND raw_score < threshold) AS BIGINT) AS tn FROM grid CROSS JOIN sc GROUP BY threshold)"""]
 
 
 def sql_threshold_sweep() -> str:

@@ -49,8 +49,9 @@ def q_dashboard(spark, sf_dir):
     return L.dashboard(scan_log(spark, sf_dir))
 
 
-SQL_DASHBOARD = _ssql("""SELECT count(*) AS total_scans, count_if(verdict = 'Dangerous') AS dangerous,
- count_if(verdict = 'Suspicious') AS suspicious, count_if(verdict = 'Safe') AS safe FROM scan_log""")
+SQL_DASHBOARD = _ssql("""SELECT count(*) AS total_scans, CAST(count_if(verdict = 'Dangerous') AS BIGINT) AS dangerous,
+ CAST(count_if(verdict = 'Suspicious') AS BIGINT) AS suspicious, CAST(count_if(verdict = 'Safe') AS BIGINT) AS safe
+FROM scan_log""")
 
 
 def q_phishing_scan_count(spark, sf_dir):
