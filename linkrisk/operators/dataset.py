@@ -27,6 +27,12 @@ def require_columns(df: DataFrame, cols: list[str]) -> None:
         raise MissingColumnsError(f"Missing columns: {missing}")
 
 
+def require_nonempty(df: DataFrame, what: str = "input") -> None:
+    """Fail fast on an empty input (``limit(1)``: no full count)."""
+    if not df.limit(1).take(1):
+        raise ValueError(f"{what} has no rows")
+
+
 def require_rows(df: DataFrame, n: int, what: str = "rows") -> int:
     """Count gate (e.g. >= 2 phishing rows, >= 50 scans); returns the count."""
     c = df.count()

@@ -167,6 +167,8 @@ def tree_shap(df: DataFrame, model, id_cols: list[str], cols: list[str] = FEATUR
     the model saw them). Adds ``base`` and ``model_output`` (= base + sum phi):
     the class-1 probability for a random forest, the raw margin for boosting.
     """
+    from linkrisk.operators.dataset import require_columns
+    require_columns(df, list(id_cols) + list(cols))
     spark = df.sparkSession
     trees, weights = tree_table(model)
     is_rf = type(model).__name__.startswith("RandomForest")

@@ -91,7 +91,11 @@ def train_compare(train: DataFrame, test: DataFrame, label: str = "label", model
                   fast: bool = False):
     """I4: fit every estimator on the cached training frame, evaluate on the
     holdout (D7 + D9 exact), return (fitted models, metrics DataFrame)."""
+    from linkrisk.operators.dataset import require_columns, require_nonempty
     from linkrisk.operators.metrics import binary_metrics, roc_auc
+    require_columns(train, FEATURE_COLS + [label])
+    require_columns(test, FEATURE_COLS + [label])
+    require_nonempty(train, "training frame")
     spark = train.sparkSession
     from linkrisk.session import cut_lineage
     tr = cut_lineage(with_class_weights(assemble(train), label))

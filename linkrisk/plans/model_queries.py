@@ -177,7 +177,10 @@ def q_evaluation_report(spark, sf_dir):
 
 def _phishing_points(spark, sf_dir) -> DataFrame:
     """Phishing rows of the feature matrix, scaled by a scaler fit on them."""
+    from linkrisk.operators.dataset import require_columns, require_rows
     f = prepared(spark, sf_dir)["features"].filter(F.col("label") == 1)
+    require_columns(f, FEATURE_COLS)
+    require_rows(f, 2, "phishing rows")  # B9: clustering needs >= 2 points
     sc = Mo.fit_scaler(f)
     return C.as_array(Mo.scale_columns(f.select("url", *FEATURE_COLS), sc), FEATURE_COLS)
 

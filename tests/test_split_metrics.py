@@ -125,3 +125,16 @@ def test_hot_key_selection_is_exact(spark):
     r = S.rank_in_hash_order(df, S.hash_key(1, "url"), ["label"], "rank").toPandas()
     for _, g in r.groupby("label"):
         assert sorted(g["rank"]) == list(range(1, len(g) + 1))
+
+
+def test_guards(spark):
+    from linkrisk.operators.dataset import MissingColumnsError, require_columns, require_nonempty, require_rows
+    df = spark.createDataFrame([(1, "a")], "x int, url string")
+    with pytest.raises(MissingColumnsError):
+        require_columns(df, ["x", "label"])
+    require_columns(df, ["x"])
+    with pytest.raises(ValueError):
+        require_nonempty(df.filter("x > 5"))
+    with pytest.raises(ValueError):
+        require_rows(df, 2, "phishing rows")
+    assert require_rows(df, 1) == 1
