@@ -30,14 +30,27 @@ _IPV4 = r"^\p{Nd}{1,3}(?:\.\p{Nd}{1,3}){3}$"
 
 
 def round_even(c: Column, digits: int = 4) -> Column:
-    """Round half-even on the binary value, like Python's ``round(x, n)``.
+    """Round half-even on the exact binary value, like Python's ``round(x, n)``.
 
-    ``bround`` alone rounds the shortest decimal text (0.00015 -> 0.0002),
-    while the binary value 1.4999...e-4 rounds down; scaling first keeps the
-    binary behaviour.
+    ``p = x * 10^n`` is itself rounded, so a value just above a tie (0.98765 is
+    0.987650000000000028 in binary) can land just below it. Dekker's exact
+    product recovers the error ``e`` of that multiplication with plain double
+    arithmetic (split x into 26-bit halves); on an apparent tie the sign of
+    ``e`` decides, and a true tie goes to the even neighbour.
     """
-    scale = float(10 ** digits)
-    return F.bround(c * F.lit(scale), 0) / F.lit(scale)
+    s = float(10 ** digits)
+    a = F.abs(c)
+    p = a * F.lit(s)
+    big = F.lit(134217729.0) * a  # 2^27 + 1
+    a_hi = big - (big - a)
+    a_lo = a - a_hi
+    e = (a_hi * F.lit(s) - p) + a_lo * F.lit(s)
+    fl = F.floor(p)
+    frac = p - fl
+    k = (F.when(frac > 0.5, fl + 1).when(frac < 0.5, fl)
+         .when(e > 0, fl + 1).when(e < 0, fl)
+         .when(fl % 2 == 0, fl).otherwise(fl + 1))
+    return F.signum(c) * k.cast("double") / F.lit(s)
 
 
 def count_char(c: Column, ch: str) -> Column:

@@ -195,10 +195,10 @@ def q_result_rows(spark, sf_dir):
 
 
 def sql_result_rows() -> str:
-    return O.with_ctes(*_scored_sql_ctes()) + """SELECT url_id, url, verdict,
- round_even(score * 10000.0E0, 0) / 10000.0E0 AS score_r,
- round_even(raw_score * 10000.0E0, 0) / 10000.0E0 AS raw_r,
- round_even(score * 100 * 10.0E0, 0) / 10.0E0 AS percent FROM re"""
+    return O.with_ctes(*_scored_sql_ctes()) + f"""SELECT url_id, url, verdict,
+ {O.round_even_sql('score', 4)} AS score_r,
+ {O.round_even_sql('raw_score', 4)} AS raw_r,
+ {O.round_even_sql('(score * 100)', 1)} AS percent FROM re"""
 
 
 def q_rule_scores_pages(spark, sf_dir):

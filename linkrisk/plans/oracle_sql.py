@@ -61,9 +61,24 @@ def _digits(x: str) -> str:
     return f"(length({x}) - length(regexp_replace({x}, '\\p{{Nd}}', '', 'g')))"
 
 
+def round_even_sql(x: str, digits: int = 4) -> str:
+    """Exact half-even rounding of a DOUBLE (Dekker product error decides ties)."""
+    sc = f"{float(10 ** digits)!r}E0" if "e" not in repr(float(10 ** digits)) else repr(float(10 ** digits))
+    a = f"abs({x})"
+    p = f"({a} * {sc})"
+    big = f"(134217729.0E0 * {a})"
+    hi = f"({big} - ({big} - {a}))"
+    e = f"((({hi} * {sc}) - {p}) + (({a} - {hi}) * {sc}))"
+    fl = f"floor({p})"
+    fr = f"({p} - {fl})"
+    k = (f"(CASE WHEN {fr} > 0.5E0 THEN {fl} + 1 WHEN {fr} < 0.5E0 THEN {fl} WHEN {e} > 0 THEN {fl} + 1 "
+         f"WHEN {e} < 0 THEN {fl} WHEN {fl} % 2 = 0 THEN {fl} ELSE {fl} + 1 END)")
+    return f"(sign({x}) * CAST({k} AS DOUBLE) / {sc})"
+
+
 def _entropy(x: str) -> str:
     return (f"(CASE WHEN coalesce(length({x}), 0) = 0 THEN 0.0E0 ELSE "
-            f"round_even(list_aggregate(regexp_extract_all({x}, '(?s).'), 'entropy') * 10000.0E0, 0) / 10000.0E0 + 0.0E0 END)")
+            + round_even_sql(f"list_aggregate(regexp_extract_all({x}, '(?s).'), 'entropy')") + " + 0.0E0 END)")
 
 
 _SCH = "^[A-Za-z][A-Za-z0-9+.\\-]*:"
@@ -155,7 +170,7 @@ def feature_ctes(src: str, id_cols: list[str], extras: bool = True) -> tuple[lis
         "min_levenshtein": min_lev,
         "is_typosquat": f"CAST(({min_lev} BETWEEN 1 AND 2) OR ({stem_ok} AND coalesce(f_smin, 99) <= 2) AS INTEGER)",
         "hostname_entropy": _entropy(h),
-        "digit_ratio_hostname": f"(CASE WHEN {hl} = 0 THEN 0.0E0 ELSE round_even({_digits(h)} / {hl} * 10000.0E0, 0) / 10000.0E0 END)",
+        "digit_ratio_hostname": f"(CASE WHEN {hl} = 0 THEN 0.0E0 ELSE {round_even_sql(f'({_digits(h)} / {hl})')} END)",
         "query_length": f"length({q})",
         "num_params": f"(CASE WHEN {q} = '' THEN 0 ELSE {_cnt(q, '&')} + 1 END)",
         "has_port": "CAST(coalesce(u_port_num, 0) <> 0 AS INTEGER)",

@@ -42,3 +42,29 @@ def test_blend_and_external(spark):
     assert r[0]["raw_score"] == pytest.approx(0.6 * 0.8 + 0.4 * 0.2)
     assert r[1]["raw_score"] == 0.8
     assert r[0]["p"] == 0.9 and r[1]["p"] == pytest.approx(0.1)
+
+
+def test_round_even_matches_python_round(spark):
+    """Exact half-even rounding on the binary value, like Python's round()."""
+    import random
+
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    from linkrisk.functions.features import round_even
+    rng = random.Random(5)
+    vals = [0.98765, 0.123456, 0.00015, 0.03125, 1 / 160, 2.67455, 0.09875, 0.99995, 0.0, 4.00005, 12.34565]
+    vals += [rng.randint(0, 10 ** 6) / 10 ** 5 / 2 for _ in range(300)]  # many decimal ties
+    vals += [rng.random() * 10 for _ in range(300)]
+
+    @settings(max_examples=200, deadline=None)
+    @given(st.floats(min_value=0, max_value=1e6, allow_nan=False))
+    def collect(x):
+        vals.append(x)
+
+    collect()
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    for d in (1, 4):
+        got = [r[0] for r in df.select(round_even(F.col("x"), d)).collect()]
+        bad = [(v, g, round(v, d)) for v, g in zip(vals, got) if g != round(v, d)]
+        assert not bad, bad[:5]

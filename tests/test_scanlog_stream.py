@@ -84,3 +84,32 @@ def test_stream_recluster_writes_campaigns(spark):
     camp = spark.read.parquet(os.path.join(base, "camp", "campaigns"))
     assert camp.agg(F.sum("size")).first()[0] == n_phish
     assert log.select("scan_id").distinct().count() == log.count()
+
+
+def test_append_rounds_scores_and_partitions_by_verdict(spark):
+    d = tempfile.mkdtemp(prefix="linkrisk-log2-")
+    df = spark.createDataFrame([(1, "Safe", 0.123456, 0.00015), (2, "Dangerous", 0.98765, 0.5)],
+                               "scan_id long, verdict string, score double, raw_score double")
+    L.append_scans(df, os.path.join(d, "log"))
+    assert sorted(os.listdir(os.path.join(d, "log")))[:2] == ["_SUCCESS", "verdict=Dangerous"] or \
+        "verdict=Safe" in os.listdir(os.path.join(d, "log"))
+    r = {x.scan_id: x for x in spark.read.parquet(os.path.join(d, "log")).collect()}
+    # same as Python round(x, 4) on the binary value (0.98765 -> 0.9876, 0.00015 -> 0.0001)
+    assert (r[1].score, r[1].raw_score, r[2].score) == (round(0.123456, 4), round(0.00015, 4), round(0.98765, 4))
+
+
+def test_model_save_load_roundtrip(spark):
+    from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    from linkrisk.operators.models import save_model
+    df = spark.createDataFrame([(float(i % 7), int(i % 7 > 3)) for i in range(200)], "a double, label int")
+    v = VectorAssembler(inputCols=["a"], outputCol="features").transform(df)
+    m = RandomForestClassifier(numTrees=3, maxDepth=3, seed=1).fit(v)
+    path = os.path.join(tempfile.mkdtemp(prefix="linkrisk-model-"), "rf")
+    save_model(m, path)
+    save_model(m, path)  # overwrite
+    m2 = RandomForestClassificationModel.load(path)
+    a = [r.prediction for r in m.transform(v).collect()]
+    b = [r.prediction for r in m2.transform(v).collect()]
+    assert a == b
