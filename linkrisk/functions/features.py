@@ -18,14 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkrisk.constants import (
-    ALL_FEATURE_COLS, BASE_FEATURE_COLS, BRAND_NAMES, DOUBLE_FEATURES,
+    DIGIT_CLASS, ALL_FEATURE_COLS, BASE_FEATURE_COLS, BRAND_NAMES, DOUBLE_FEATURES,
     EXTRA_FEATURE_COLS, FEATURE_EXPLANATIONS, FLAG_RULES, NO_HOST_DISTANCE,
     SUSPICIOUS_TLDS, SUSPICIOUS_WORDS,
 )
 from linkrisk.functions.suffix import with_registered_domain
 from linkrisk.functions.urlparts import drop_parts, part_names, stage, with_url_parts
 
-_DIGIT = r"\p{Nd}"
+_DIGIT = DIGIT_CLASS  # what str.isdigit accepts
 _IPV4 = r"^\p{Nd}{1,3}(?:\.\p{Nd}{1,3}){3}$"
 
 
@@ -133,7 +133,7 @@ def with_url_features(df: DataFrame, url_col: str = "url", keep_parts: bool = Fa
         "num_percent": count_char(url, "%"),
         "num_digits_in_domain": count_digits(host),
         "num_digits_in_path": count_digits(F.col("f_pq")),
-        "last_path_segment_is_integer": _b(last_seg.rlike(r"^\p{Nd}+$")),
+        "last_path_segment_is_integer": _b(last_seg.rlike("^" + DIGIT_CLASS + "+$")),
         "has_ip": _b(host.rlike(_IPV4) | host.contains(":")),
         "has_https": _b(F.col("u_scheme") == "https"),
         "num_subdomains": F.greatest(count_char(host, ".") - 1, F.lit(0)),

@@ -10,7 +10,7 @@ are inlined as CTEs.
 from __future__ import annotations
 
 from linkrisk.constants import (
-    BRAND_NAMES, FEATURE_COLS, FEATURE_EXPLANATIONS, ALL_FEATURE_COLS, EXTRA_FEATURE_COLS,
+    DIGIT_CLASS, BRAND_NAMES, FEATURE_COLS, FEATURE_EXPLANATIONS, ALL_FEATURE_COLS, EXTRA_FEATURE_COLS,
     FLAG_RULES, PUBLIC_SUFFIX_SAMPLE, SCHEMES_WITH_PARAMS, SUSPICIOUS_TLDS, SUSPICIOUS_WORDS,
     DOUBLE_FEATURES, BASE_FEATURE_COLS,
 )
@@ -58,7 +58,7 @@ def _cnt(x: str, ch: str) -> str:
 
 
 def _digits(x: str) -> str:
-    return f"(length({x}) - length(regexp_replace({x}, '\\p{{Nd}}', '', 'g')))"
+    return f"(length({x}) - length(regexp_replace({x}, '{DIGIT_CLASS}', '', 'g')))"
 
 
 def round_even_sql(x: str, digits: int = 4) -> str:
@@ -158,7 +158,7 @@ def feature_ctes(src: str, id_cols: list[str], extras: bool = True) -> tuple[lis
         "num_percent": _cnt("url", "%"),
         "num_digits_in_domain": _digits(h),
         "num_digits_in_path": _digits("f_pq"),
-        "last_path_segment_is_integer": f"CAST(regexp_matches({last_seg}, '^\\p{{Nd}}+$') AS INTEGER)",
+        "last_path_segment_is_integer": f"CAST(regexp_matches({last_seg}, '^{DIGIT_CLASS}+$') AS INTEGER)",
         "has_ip": f"CAST(regexp_matches({h}, '{_IPV4}') OR contains({h}, ':') AS INTEGER)",
         "has_https": "CAST(u_scheme = 'https' AS INTEGER)",
         "num_subdomains": f"greatest({_cnt(h, '.')} - 1, 0)",

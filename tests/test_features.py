@@ -97,3 +97,14 @@ def test_pages_match_stdlib_splitter(spark):
         want = _stdlib(r["url"])
         for k, v in want.items():
             assert r[k] == v, (r["url"], k, r[k], v)
+
+
+def test_unicode_digits_follow_isdigit(spark):
+    urls = ["http://a²b③.com/x٣¹/²³", "http://h.com/12⁰"]
+    rows = with_url_features(spark.createDataFrame([(u,) for u in urls], "url string")).collect()
+    for u, r in zip(urls, rows):
+        p = urlparse(u)
+        host, seg = p.hostname or "", [s for s in p.path.split("/") if s]
+        assert r["num_digits_in_domain"] == sum(c.isdigit() for c in host)
+        assert r["num_digits_in_path"] == sum(c.isdigit() for c in p.path + p.query)
+        assert r["last_path_segment_is_integer"] == int(bool(seg) and seg[-1].isdigit())
