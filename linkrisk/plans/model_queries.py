@@ -202,6 +202,14 @@ def q_kmeans_campaigns(spark, sf_dir):
     return C.campaign_sizes(c["assigned"]).orderBy(F.desc("size"), "cluster")
 
 
+def q_campaign_summary(spark, sf_dir):
+    """C9 + D14 + F3: campaigns by size with their centroid (k rows, broadcast)."""
+    c = _campaign_fit(spark, sf_dir)
+    model = C.fit_kmeans(c["points"], c["k"])
+    assigned = C.assign_nearest(c["points"], C.centroid_table(model))
+    return C.campaign_summary(assigned, C.centroid_table(model)).limit(10)
+
+
 def q_choose_k(spark, sf_dir):
     c = _campaign_fit(spark, sf_dir)
     rows = [(k, float(s), k == c["k"]) for k, s in sorted(c["scores"].items())] or [(c["k"], None, True)]
@@ -302,7 +310,7 @@ def register(qs: dict, sql: dict) -> None:
         ("error_reasons", q_error_reasons), ("linear_shap", q_linear_shap),
         ("linear_top_reasons", q_linear_top_reasons),
         ("evaluation_report", q_evaluation_report), ("kmeans_campaigns", q_kmeans_campaigns),
-        ("choose_k", q_choose_k), ("dbscan_compare", q_dbscan_compare), ("pca_2d", q_pca_2d),
+        ("choose_k", q_choose_k), ("campaign_summary", q_campaign_summary), ("dbscan_compare", q_dbscan_compare), ("pca_2d", q_pca_2d),
     ]:
         qs[name] = fn
     for name, fn, s in [
