@@ -14,7 +14,8 @@ Rules:
 * ``;params`` cut from the last path segment for the schemes that use them;
 * host: after the last ``@``, brackets removed, lowercased (IPv6 zone kept);
   port after ``:``;
-* an unbalanced or malformed bracket in the netloc is a parse error.
+* an unbalanced bracket in the netloc, or bracket content that is not an IPv6
+  / IPvFuture address, is a parse error (as in the Python 3.13 stdlib).
 
 The stages are separate projections so each regular expression runs once per
 row; Catalyst does not collapse a projection when that would duplicate a
@@ -29,9 +30,31 @@ from pyspark.sql import functions as F
 from linkrisk.constants import SCHEMES_WITH_PARAMS
 
 _SCHEME_RE = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
-# Loose IPv6 / IPvFuture check for bracketed hosts (see README: deviations).
-_V6_RE = r"^(?:v[0-9A-Fa-f]+\..+|[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*(?:%.+)?)$"
-_IPV4_RE = r"^\p{Nd}{1,3}(?:\.\p{Nd}{1,3}){3}$"
+
+
+def bracket_host_regex() -> str:
+    """Valid content of a bracketed host: an IPv6 address (optional zone
+    ``%id``) or an IPvFuture literal. Generated from the address grammar:
+    8 hextets, or 6 hextets + dotted IPv4 (octets 0-255, no leading zeros),
+    with at most one ``::`` standing for one or more zero hextets."""
+    h = "[0-9A-Fa-f]{1,4}"
+    octet = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+    v4 = octet + r"(?:\." + octet + "){3}"
+
+    def seq(n: int) -> str:
+        return "" if n == 0 else h + ("(?::" + h + "){" + str(n - 1) + "}" if n > 1 else "")
+
+    alts = [seq(8), seq(6) + ":" + v4]
+    for total, tail in ((8, ""), (6, v4)):
+        for k in range(total):
+            for m in range(total - k):
+                right = seq(m) + (":" + tail if tail and m else tail)
+                alts.append(seq(k) + "::" + right)
+    v6 = "(?:" + "|".join(alts) + ")(?:%[^%]+)?"
+    return r"^(?:v[0-9A-Fa-f]+\..+|" + v6 + r")\z"
+
+
+_V6_RE = bracket_host_regex()
 
 
 def _after_first(c: Column, sep: str) -> Column:
@@ -99,15 +122,10 @@ def with_url_parts(df: DataFrame, url_col: str = "url", add_scheme: bool = True,
     host_raw = F.when(has_open, b_host).otherwise(_before_first(hi, ":"))
     port_raw = F.when(has_open, _after_first(b_after, ":")).otherwise(_after_first(hi, ":"))
     unbalanced = net.contains("[") != net.contains("]")
-    bad_bracket = (
-        net.contains("[") & net.contains("]") & has_open
-        & (
-            (_before_first(hi, "[") != "")
-            | ((b_after != "") & ~b_after.startswith(":"))
-            | ~b_host.rlike(_V6_RE)
-            | b_host.rlike(_IPV4_RE)
-        )
-    )
+    # the text between the netloc's first '[' and the next ']' must be an
+    # IPv6 address or an IPvFuture literal
+    net_bracketed = _before_first(_after_first(net, "["), "]")
+    bad_bracket = net.contains("[") & net.contains("]") & ~net_bracketed.rlike(_V6_RE)
     path = F.when(
         F.col(p + "scheme").isin(SCHEMES_WITH_PARAMS) & path0.contains(";"),
         F.regexp_replace(path0, r"(?s);[^/]*$", ""),

@@ -82,7 +82,9 @@ def _entropy(x: str) -> str:
 
 
 _SCH = "^[A-Za-z][A-Za-z0-9+.\\-]*:"
-_V6 = "^(?:v[0-9A-Fa-f]+\\..+|[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*(?:%.+)?)$"
+from linkrisk.functions.urlparts import bracket_host_regex  # noqa: E402
+
+_V6 = bracket_host_regex()
 _IPV4 = "^\\p{Nd}{1,3}(?:\\.\\p{Nd}{1,3}){3}$"
 
 
@@ -113,11 +115,8 @@ def parts_ctes(src: str, p: str, add_scheme: bool) -> tuple[list[str], str]:
  CASE WHEN contains({hi}, '[') THEN {bhost} ELSE regexp_extract({hi}, '(?s)^([^:]*)', 1) END AS {p}host_raw,
  CASE WHEN contains({hi}, '[') THEN regexp_extract({bafter}, '(?s)^[^:]*:(.*)$', 1)
       ELSE regexp_extract({hi}, '(?s)^[^:]*:(.*)$', 1) END AS {p}port,
- (contains({net}, '[') <> contains({net}, ']')) OR (contains({net}, '[') AND contains({net}, ']') AND contains({hi}, '[') AND (
-    regexp_extract({hi}, '(?s)^([^\\[]*)', 1) <> ''
-    OR ({bafter} <> '' AND NOT starts_with({bafter}, ':'))
-    OR NOT regexp_matches({bhost}, '{_V6}')
-    OR regexp_matches({bhost}, '{_IPV4}'))) AS {p}bad_netloc
+ (contains({net}, '[') <> contains({net}, ']')) OR (contains({net}, '[') AND contains({net}, ']') AND NOT regexp_matches(
+    regexp_extract(regexp_extract({net}, '(?s)^[^\\[]*\\[(.*)$', 1), '(?s)^([^\\]]*)', 1), '{_V6}')) AS {p}bad_netloc
  FROM {p}d)""")
     hr = f"{p}host_raw"
     pv = f"TRY_CAST({p}port AS INTEGER)"

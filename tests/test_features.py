@@ -108,3 +108,19 @@ def test_unicode_digits_follow_isdigit(spark):
         assert r["num_digits_in_domain"] == sum(c.isdigit() for c in host)
         assert r["num_digits_in_path"] == sum(c.isdigit() for c in p.path + p.query)
         assert r["last_path_segment_is_integer"] == int(bool(seg) and seg[-1].isdigit())
+
+
+def test_bracketed_hosts_like_stdlib(spark):
+    """A bracketed host is valid exactly when the stdlib splitter accepts it."""
+    from urllib.parse import urlsplit
+    hosts = ["::1", "fe80::1%eth0", "1:2:3:4:5:6:7:8", "::ffff:1.2.3.4", "1.2.3.4", "1::2::3", "g::1",
+             "::1.2.3.04", "v1.x", "v.x", "bad", "1:2:3:4:5:6:7", "A:B::C"]
+    urls = [f"http://[{h}]:80/p" for h in hosts] + ["http://x[::1]/", "http://[::1]x/", "http://[::1/"]
+    rows = with_url_features(spark.createDataFrame([(u,) for u in urls], "url string")).collect()
+    for u, r in zip(urls, rows):
+        try:
+            urlsplit(u)
+            ok = True
+        except ValueError:
+            ok = False
+        assert r["parse_error"] == (not ok), u
