@@ -59,7 +59,11 @@ def count_char(c: Column, ch: str) -> Column:
 
 
 def count_digits(c: Column) -> Column:
-    return F.length(c) - F.length(F.regexp_replace(c, _DIGIT, ""))
+    """Characters ``str.isdigit`` accepts; ASCII text (bytes = chars) takes the
+    cheap ``[0-9]`` path, other text the full Unicode digit class."""
+    ascii_only = F.octet_length(c) == F.length(c)
+    return F.when(ascii_only, F.length(c) - F.length(F.regexp_replace(c, "[0-9]", ""))).otherwise(
+        F.length(c) - F.length(F.regexp_replace(c, _DIGIT, "")))
 
 
 def shannon_entropy(c: Column) -> Column:
@@ -111,6 +115,9 @@ def with_url_features(df: DataFrame, url_col: str = "url", keep_parts: bool = Fa
         F.regexp_extract(host, r"(?s)^(.*)\.[^.]*\.[^.]*$", 1).alias("f_sub"),
         F.expr(_least_lev(b_sql)).alias("f_base_min"),
         F.expr(f"CASE WHEN {b_sql} LIKE '%-%' AND {s_sql} <> '' THEN {_least_lev(s_sql)} END").alias("f_stem_min"),
+        # a higher-order function is never shared by subexpression elimination:
+        # materialise it once here, round the column reference later
+        shannon_entropy(host).alias("f_hent"),
     ])
     base = F.col("f_base")
     stem = F.substring_index(base, "-", 1)
@@ -145,7 +152,7 @@ def with_url_features(df: DataFrame, url_col: str = "url", keep_parts: bool = Fa
         "has_at_in_url": _b(url.contains("@")),
         "min_levenshtein": min_lev,
         "is_typosquat": _b(min_lev.between(1, 2) | (stem_ok & (F.coalesce(stem_min, F.lit(99)) <= 2))),
-        "hostname_entropy": round_even(shannon_entropy(host), 4),
+        "hostname_entropy": round_even(F.col("f_hent"), 4),
         "digit_ratio_hostname": F.when(host_len == 0, F.lit(0.0))
         .otherwise(round_even(count_digits(host) / host_len, 4)),
         "query_length": F.length(query),
@@ -161,7 +168,7 @@ def with_url_features(df: DataFrame, url_col: str = "url", keep_parts: bool = Fa
         typ = "double" if name in DOUBLE_FEATURES else "int"
         out.append(F.when(bad, zero).otherwise(feats[name]).cast(typ).alias(name))
     out.append((bad | F.col("u_port_error")).alias("parse_error"))
-    drop = ("f_base", "f_pq", "f_sub", "f_base_min", "f_stem_min") + (() if keep_parts else part_names("u_"))
+    drop = ("f_base", "f_pq", "f_sub", "f_base_min", "f_stem_min", "f_hent") + (() if keep_parts else part_names("u_"))
     return stage(df, out, drop)
 
 
@@ -176,7 +183,8 @@ def with_extra_features(df: DataFrame, url_col: str = "url", suffix_rules: DataF
     df = with_url_parts(df, url_col, add_scheme=False, prefix="x_")
     host = F.regexp_replace(F.col("x_host"), r"\.+$", "")
     bad = F.col("x_bad_netloc") | url.isNull()
-    df = stage(df, [F.when(bad, F.lit("")).otherwise(host).alias("x_h")])
+    df = stage(df, [F.when(bad, F.lit("")).otherwise(host).alias("x_h"),
+                    shannon_entropy(url).alias("x_ent")])
     df = with_registered_domain(df, "x_h", suffix_rules, prefix="x_")
     h = F.col("x_h")
     reg = F.lower(F.col("x_domain"))
@@ -188,10 +196,10 @@ def with_extra_features(df: DataFrame, url_col: str = "url", suffix_rules: DataF
     ).otherwise(chain)
     depth = F.when(bad, F.lit(0)).otherwise(F.regexp_count(F.col("x_path"), F.lit("[^/]+")))
     return stage(df, [
-        F.when(url.isNull(), F.lit(0.0)).otherwise(round_even(shannon_entropy(url), 4)).alias("url_entropy"),
+        F.when(url.isNull(), F.lit(0.0)).otherwise(round_even(F.col("x_ent"), 4)).alias("url_entropy"),
         impersonation.cast("int").alias("brand_impersonation"),
         depth.cast("int").alias("path_depth"),
-    ], part_names("x_") + ("x_h", "x_domain", "x_suffix_len"))
+    ], part_names("x_") + ("x_h", "x_ent", "x_domain", "x_suffix_len"))
 
 
 def with_all_features(df: DataFrame, url_col: str = "url", suffix_rules: DataFrame | None = None) -> DataFrame:
