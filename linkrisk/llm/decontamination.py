@@ -69,11 +69,11 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
 class Matcher:
     """Finds items in texts within their error budgets."""
 
-    def __init__(self, items: list[tuple], rate: float):
+    def __init__(self, items: list[str], rate: float):
         import ahocorasick
         self.items, self.rate = items, rate
         places: dict[str, list] = {}
-        for n, (_, text) in enumerate(items):
+        for n, text in enumerate(items):
             k = int(rate * len(text))
             cuts = [len(text) * i // (k + 1) for i in range(k + 2)]
             for a, b in zip(cuts, cuts[1:]):
@@ -90,7 +90,7 @@ class Matcher:
         for last, (size, at) in self.find.iter(text):
             for n, a in at:
                 start = last + 1 - size - a  # where the item would begin without edits before the piece
-                item = self.items[n][1]
+                item = self.items[n]
                 if n in best and best[n][0] == 0 or (n, start) in tried:
                     continue
                 tried.add((n, start))
@@ -117,10 +117,10 @@ def find_items(docs: DataFrame, items: DataFrame, rate: float = RATE, min_chars:
     schema = (f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, "
               f"item_id {tests.schema['item_id'].dataType.simpleString()}, distance int, match_end int")
 
-    def scan(block: list[tuple]):
+    def scan(ids, texts: list[str]):
         def run(it: Iterator) -> Iterator:
             import pyarrow as pa
-            matcher, ids = matcher_of(block, rate), pa.array([i for i, _ in block])
+            matcher = matcher_of(texts, rate)
             for batch in it:
                 for b in batches(batch):
                     found = [(r, n, d, end) for r, text in enumerate(b.column(1).to_pylist()) if text
@@ -131,27 +131,28 @@ def find_items(docs: DataFrame, items: DataFrame, rate: float = RATE, min_chars:
                                                          names=["doc_id", "item_id", "distance", "match_end"])
         return run
 
-    parts = [slim.mapInArrow(scan(b), schema) for b in item_blocks(tests, min_chars, block_chars)]
+    parts = [slim.mapInArrow(scan(*b), schema) for b in item_blocks(tests, min_chars, block_chars)]
     return reduce(DataFrame.unionAll, parts) if parts else docs.sparkSession.createDataFrame([], schema)
 
 
-def item_blocks(tests: DataFrame, min_chars: int, block_chars: int) -> Iterator[list[tuple]]:
-    """The items (item_id, normalised text), in blocks of about ``block_chars``."""
+def item_blocks(tests: DataFrame, min_chars: int, block_chars: int) -> Iterator[tuple]:
+    """The items (Arrow array of ids, normalised texts), in blocks of about ``block_chars``."""
     tests = tests.filter(F.col("text").isNotNull())
     blocks = 1 + int((tests.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars)
     for b in range(blocks):
-        rows = tests.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        block = [(i, t) for i, t in ((r[0], normal(r[1])) for r in rows) if len(t) >= min_chars]
-        if block:
-            yield block
+        rows = tests.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toArrow()
+        texts = [normal(t) for t in rows.column("text").to_pylist()]
+        long = [i for i, t in enumerate(texts) if len(t) >= min_chars]
+        if long:
+            yield rows.column("item_id").combine_chunks().take(long), [texts[i] for i in long]
 
 
-def matcher_of(block: list[tuple], rate: float) -> Matcher:
-    """The block's matcher; a worker keeps the last one."""
-    key = hash((tuple(block), rate))
+def matcher_of(texts: list[str], rate: float) -> Matcher:
+    """The matcher of a block's texts; a worker keeps the last one."""
+    key = hash((tuple(texts), rate))
     if key not in _MATCHERS:
         _MATCHERS.clear()
-        _MATCHERS[key] = Matcher(block, rate)
+        _MATCHERS[key] = Matcher(texts, rate)
     return _MATCHERS[key]
 
 
@@ -162,10 +163,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, rate: float = RATE, min_cha
     filter per block of items."""
     at, schema = docs.columns.index(text_col), docs.schema
 
-    def keep(block: list[tuple]):
+    def keep(texts: list[str]):
         def run(it: Iterator) -> Iterator:
             import pyarrow as pa
-            matcher = matcher_of(block, rate)
+            matcher = matcher_of(texts, rate)
             for batch in it:
                 for b in batches(batch):
                     clean = [not (t and matcher.matches(normal(t))) for t in b.column(at).to_pylist()]
@@ -173,6 +174,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, rate: float = RATE, min_cha
         return run
 
     tests = items.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text"))
-    for b in item_blocks(tests, min_chars, block_chars):
-        docs = docs.mapInArrow(keep(b), schema)
+    for _, texts in item_blocks(tests, min_chars, block_chars):
+        docs = docs.mapInArrow(keep(texts), schema)
     return docs
