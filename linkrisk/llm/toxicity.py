@@ -251,7 +251,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
                 seen = {"=" + w for w in words} | {w[:k] for w in words for k in BEGINNINGS if len(w) >= k}
                 (bad if toxic else good).update(seen)
         keys = list(bad)  # an entry needs toxic documents somewhere; the rest is counted below
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([bad[k] for k in keys], pa.int64()),
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([bad[k] for k in keys], pa.int64()),
                                           pa.array([0] * len(keys), pa.int64())], names=["entry", "bad", "good"])
         keys = list(good)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([0] * len(keys), pa.int64()),
