@@ -28,10 +28,13 @@ document may end up with an empty text.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkrisk.llm.base import lower_ascii, name_of, store
+from linkrisk.llm.base import batches, lower_ascii, mix, name_of, store, utf8, word_hashes
 
 MIN_WORDS, NEAR_WORDS = 4, 8
 _GAPS = r"[ \t\x0B\f\r]+"
@@ -41,8 +44,57 @@ def words_of(line: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(lower_ascii(line), _GAPS, " ")), " ")
 
 
-def _hash(seed: int, n: Column, words: Column, start, size) -> Column:
-    return F.xxhash64(F.lit(seed), n, F.concat_ws(" ", F.slice(words, start, size)))
+#: Base of the polynomial hash of a word sequence (odd, so it has an inverse
+#: modulo 2^64), and another one for the second half of a line's 128-bit identity.
+_BASE, _OTHER = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+_BACK = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(n, 1), base, np.uint64))])
+
+
+class Lines:
+    """Hashes of the word sequences of many lines: the hash of words v0 v1 ... is
+    the sum of h(vi) * BASE^i, so that of any part follows from running sums."""
+
+    def __init__(self, lines: list[bytes]):
+        line, words, _ = word_hashes(lines)
+        self.n = np.bincount(line, minlength=len(lines)).astype(np.int64)
+        self.first = np.cumsum(self.n) - self.n
+        at = np.arange(len(words)) - np.repeat(self.first, self.n)
+        top = int(self.n.max()) if len(self.n) else 0
+        self.back = _powers(_BACK, top)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * _powers(_BASE, top)[at], dtype=np.uint64)])
+        self.other = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words) * _powers(_OTHER, top)[at], dtype=np.uint64)])
+        self.at = at
+
+    def part(self, lo: np.ndarray, hi: np.ndarray, rows=slice(None)) -> np.ndarray:
+        """Hash of words lo..hi of each line."""
+        f = self.first[rows]
+        return (self.sums[f + hi] - self.sums[f + lo]) * self.back[lo]
+
+    def identity(self) -> tuple[np.ndarray, np.ndarray]:
+        end = self.first + self.n
+        return self.part(np.zeros_like(self.n), self.n), mix(self.other[end] - self.other[self.first])
+
+    def halves(self, rows: np.ndarray) -> np.ndarray:
+        """Per line the keys of its first and last half, as a line of n words and as
+        one that has a word more than its partner."""
+        n, keys = self.n[rows], []
+        for seed, m in ((1, n), (3, n - 1)):
+            h = m // 2
+            for k, (lo, hi) in enumerate(((np.zeros_like(h), h), (n - (m - h), n))):
+                keys.append(mix(self.part(lo, hi, rows) + mix((2 * m + k).astype(np.uint64))))
+        return np.stack(keys, axis=1)
+
+    def variants(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(line, deleted word, hash of the rest) of every one-word deletion."""
+        line, j = np.repeat(np.arange(len(self.n)), self.n), self.at
+        f, e = self.first[line], (self.first + self.n)[line]
+        rest = (self.sums[f + j] - self.sums[f]) + (self.sums[e] - self.sums[f + j + 1]) * np.uint64(_BACK)
+        return line, j, rest
 
 
 def within_one(a: Column, b: Column) -> Column:
@@ -57,46 +109,74 @@ def within_one(a: Column, b: Column) -> Column:
 
 
 def line_table(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
-    """(doc_id, i, h1, h2, n, halves) of every line that is compared, stored."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    lines = lines.select("doc_id", "i", words_of(F.col("line")).alias("w")).withColumn("n", F.size("w")).filter(F.col("n") >= min_words)
-    n, m, w = F.col("n"), F.col("n") - 1, F.col("w")
-    half = lambda x: F.floor(x / 2).cast("int")
-    halves = F.array(_hash(1, n, w, F.lit(1), half(n)), _hash(2, n, w, half(n) + 1, n - half(n)),
-                     _hash(1, m, w, F.lit(1), half(m)), _hash(2, m, w, n - (m - half(m)) + 1, m - half(m)))
-    full = F.concat_ws(" ", "w")
-    return store(lines.select("doc_id", "i", F.xxhash64(full).alias("h1"), F.xxhash64(F.lit(7), full).alias("h2"), "n",
-                              F.when(n >= near_words, halves).alias("halves")), "lines")
+    """(doc_id, i, h1, h2, halves) of every line that is compared, stored."""
+    def run(it: Iterator) -> Iterator:
+        import pyarrow as pa
+        for batch in it:
+            for b in batches(batch, 500):
+                split = [t.split(b"\n") if t is not None else [] for t in utf8(b.column(1))]
+                doc = np.repeat(np.arange(len(split)), [len(x) for x in split])
+                number = np.concatenate([np.arange(len(x)) for x in split]) if len(doc) else doc
+                lines = Lines([x for xs in split for x in xs])
+                rows = np.flatnonzero(lines.n >= min_words)
+                h1, h2 = (h[rows].view(np.int64) for h in lines.identity())
+                near = lines.n[rows] >= near_words
+                keys = lines.halves(rows[near]).view(np.int64)
+                ends = np.concatenate([[0], np.cumsum(near * keys.shape[1])])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(doc[rows])), pa.array(number[rows], pa.int32()), pa.array(h1), pa.array(h2),
+                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.ravel()))],
+                    names=["doc_id", "i", "h1", "h2", "halves"])
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return store(docs.mapInArrow(run, f"doc_id {id_type}, i int, h1 bigint, h2 bigint, halves array<bigint>"), "lines")
+
+
+def variant_table(texts: DataFrame) -> DataFrame:
+    """(k, j, pos): a row per line (j = -1, k its own hash) and per deletion variant
+    (k the hash of the line without word j). Equal k: one edit apart if j is equal,
+    or if one side is a whole line."""
+    pos = texts.schema["pos"].dataType.simpleString()
+
+    def run(it: Iterator) -> Iterator:
+        import pyarrow as pa
+        for batch in it:
+            for b in batches(batch, 2000):
+                lines = Lines(utf8(b.column(1)))
+                line, j, rest = lines.variants()
+                row = np.concatenate([line, np.arange(b.num_rows)])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([rest, lines.identity()[0]]).view(np.int64)),
+                     pa.array(np.concatenate([j, np.full(b.num_rows, -1)]), pa.int32()), b.column(0).take(pa.array(row))],
+                    names=["k", "j", "pos"])
+
+    return texts.select("pos", "line").mapInArrow(run, f"k bigint, j int, pos {pos}")
 
 
 def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """(h1, h2) of the distinct lines that an earlier line within one edit precedes."""
-    keys = distinct.filter("halves is not null").select("h1", F.explode("halves").alias("k"))
+    keys = distinct.select("h1", F.explode("halves").alias("k"))
     shared = keys.groupBy("k").agg(F.count("*").alias("c")).filter("c > 1").select("k")
     some = keys.join(shared, "k").select("h1").distinct()
     at = distinct.join(some, "h1").select("first.doc_id", F.col("first.i").alias("i"), "h1", "h2")
     places = at.groupBy("doc_id").agg(F.collect_list(F.struct("i", "h1", "h2")).alias("at"))  # at most a document's lines
-    texts = (docs.join(places, docs["doc_id"].eqNullSafe(places["doc_id"])).select(docs["doc_id"], F.split("text", "\n").alias("all"), F.explode("at").alias("a"))
-             .select(F.struct("doc_id", "a.i").alias("pos"), "a.h1", "a.h2", words_of(F.get("all", F.col("a.i"))).alias("w")))
-    texts = texts.filter(F.xxhash64(F.concat_ws(" ", "w")) == F.col("h1")).dropDuplicates(["pos"])
-    texts = store(texts, "near-texts")
-    n, w = F.size("w"), F.col("w")
-    cut = lambda j: F.xxhash64(F.concat_ws(" ", F.slice(w, 1, j - 1), F.slice(w, j + 1, n - j)))
-    variants = F.transform(F.sequence(F.lit(1), n), lambda j: F.struct(F.lit(0).alias("role"), j.alias("j"), cut(j).alias("h")))
-    rows = texts.select("pos", "h1", n.alias("n"), F.explode(variants).alias("v")).select("pos", "h1", "n", "v.*")
-    keyed = rows.select(F.xxhash64(F.lit(3), "n", "j", "h").alias("k"), F.lit(0).alias("role"), "pos")
-    keyed = keyed.unionAll(rows.select(F.xxhash64(F.lit(4), "h").alias("k"), F.lit(2).alias("role"), "pos"))
-    keyed = keyed.unionAll(texts.select(F.xxhash64(F.lit(4), "h1").alias("k"), F.lit(1).alias("role"), "pos"))
-    keyed = store(keyed, "variants")
-    role = F.col("role")
-    first = keyed.groupBy("k").agg(
-        F.count("*").alias("c"), *[F.min(F.when(role == r, F.col("pos"))).alias(f"p{r}") for r in range(3)])
-    first = first.filter("c > 1 and (p0 is not null or (p1 is not null and p2 is not null))").drop("c")
-    partner = F.when(role == 0, F.col("p0")).when(role == 1, F.col("p2")).otherwise(F.col("p1"))
-    pairs = keyed.join(first, "k").select("pos", partner.alias("by")).filter("by < pos").groupBy("pos").agg(F.min("by").alias("by"))
-    both = (pairs.join(texts, "pos").select("by", "h1", "h2", "w")
-            .join(texts.select(F.col("pos").alias("by"), F.col("w").alias("w2")), "by"))
-    return both.filter(within_one(F.col("w"), F.col("w2"))).select("h1", "h2")
+    texts = (docs.join(places, docs["doc_id"].eqNullSafe(places["doc_id"]))
+             .select(docs["doc_id"], F.split("text", "\n").alias("all"), F.explode("at").alias("a"))
+             .select(F.struct("doc_id", "a.i").alias("pos"), F.get("all", F.col("a.i")).alias("line"), "a.h1", "a.h2"))
+    texts = store(texts.filter("line is not null"), "near-texts")
+    rows = variant_table(texts)
+    shared = rows.groupBy("k").agg(F.count("*").alias("c")).filter("c > 1").select("k")
+    rows = store(rows.join(shared, "k"), "variants")
+    first = rows.groupBy("k", "j").agg(F.min("pos").alias("by"))
+    whole = first.filter("j < 0").drop("j")
+    part = first.filter("j >= 0").groupBy("k").agg(F.min("by").alias("by"))
+    pairs = rows.filter("j >= 0").join(first, ["k", "j"]).select("pos", "by")
+    pairs = pairs.unionAll(rows.filter("j >= 0").join(whole, "k").select("pos", "by"))
+    pairs = pairs.unionAll(rows.filter("j < 0").join(part, "k").select("pos", "by"))
+    pairs = pairs.filter("by < pos").distinct()
+    both = (pairs.join(texts.select("pos", "h1", "h2", "line"), "pos")
+            .join(texts.select(F.col("pos").alias("by"), F.col("line").alias("other")), "by"))
+    return both.filter(within_one(words_of(F.col("line")), words_of(F.col("other")))).select("h1", "h2").distinct()
 
 
 def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
