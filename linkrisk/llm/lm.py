@@ -22,7 +22,8 @@ memory per task is that of one block or one partition.
 
 Edge cases: null, empty and blank texts have no tokens and a score of 0. Repeated
 rows are scored alike, and count as often as they occur. An empty table gives no
-rows. n-grams are compared by 64-bit hashes.
+rows. n-grams are compared by hashes of ``HASH_BITS`` bits: an n-gram's count is
+wrong with a probability of the number of distinct n-grams divided by 2^56.
 """
 
 from __future__ import annotations
@@ -36,8 +37,11 @@ from pyspark.sql import functions as F
 from linkrisk.llm.base import mix, store, utf8, word_hashes
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
-#: Characters of text in a block, and in the n-grams of a partition (about).
-BLOCK_CHARS, PARTITION_CHARS, LEAST = 8_000_000, 16_000_000, 32
+#: Characters of text in a block, and in the n-grams of a partition (about); least
+#: number of either.
+BLOCK_CHARS, PARTITION_CHARS, LEAST = 24_000_000, 16_000_000, 16
+#: Bits of an n-gram's hash that travel.
+HASH_BITS = 56
 
 
 def grams(doc: np.ndarray, words: np.ndarray, order: int) -> list[np.ndarray]:
@@ -83,9 +87,15 @@ def unpack_counts(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
+def _short(g: np.ndarray) -> np.ndarray:
+    """The bits of n-gram hashes that travel; 0 stays 0, nothing else becomes 0."""
+    s = g >> np.uint64(64 - HASH_BITS)
+    return np.where((g != 0) & (s == 0), np.uint64(1), s)
+
+
 def _bounds(parts: int) -> np.ndarray:
     """First hash of each partition."""
-    return np.array([(p << 64) // parts for p in range(parts)], np.uint64)
+    return np.array([(p << HASH_BITS) // parts for p in range(parts)], np.uint64)
 
 
 def score_documents(df: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT,
@@ -105,7 +115,8 @@ def score_documents(df: DataFrame, order: int = ORDER, alpha: float = ALPHA, min
         rows: dict[str, list] = {c: [] for c in ("part", "block", *names, *(f"c{n}" for n in range(1, order + 1)))}
         split = []
         for g in grams(doc, words, order):
-            u, c = np.unique(g[g != 0], return_counts=True)
+            u, c = np.unique(_short(g), return_counts=True)
+            u, c = u[u != 0], c[u != 0]
             at = np.searchsorted(u, starts)
             split.append((u, c, at, np.append(at[1:], len(u))))
         block = t.column("block")[0].as_py()
@@ -145,7 +156,7 @@ def score_documents(df: DataFrame, order: int = ORDER, alpha: float = ALPHA, min
         got = answers_t.sort_by("part") if answers_t.num_rows else None
         count = []
         for n, g in enumerate(grams(doc, words, order), 1):
-            u, inverse = np.unique(g, return_inverse=True)
+            u, inverse = np.unique(_short(g), return_inverse=True)
             known = u != 0
             c = np.zeros(len(u), np.int64)
             if got is not None and known.any():
