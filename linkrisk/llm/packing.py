@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from linkrisk.llm.base import batches, store, utf8
 
 #: Chunks that a worker remembers; longer chunks are encoded each time.
-CACHE_CHUNKS, CACHE_BYTES = 300_000, 40
+CACHE_CHUNKS, CACHE_BYTES = 1_000_000, 40
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -40,20 +40,34 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.dtype = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[bytes, bytes] = {}
-
-    def encode(self, text: bytes) -> bytes:
-        chunks, known = text.split(), self.known  # at ASCII white space
-        new = [c for c in dict.fromkeys(chunks) if c not in known]
-        far = {}
-        if new:
-            if len(known) > CACHE_CHUNKS:
-                known.clear()
-                new = list(dict.fromkeys(chunks))
-            for c, e in zip(new, self.tok.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)):
+        # a tokenizer that lower-cases gives a chunk and its lower-cased form the same
+        # ids, unless a special token is spelt in it
+        self.lowers = '"Lowercase"' in self.tok.to_str()
+        self.special = [t.content.lower().encode() for t in self.tok.get_added_tokens_decoder().values()]
+
+    def chunks(self, text: bytes) -> list[bytes]:
+        if self.lowers:
+            low = text.lower()
+            if not any(s in low for s in self.special):
+                text = low
+        return text.split()  # at ASCII white space
+
+    def encode_many(self, texts: list) -> list[bytes]:
+        split = [self.chunks(t) if t else [] for t in texts]
+        known, far = self.known, {}
+        if len(known) > CACHE_CHUNKS:
+            known.clear()
+        new = list({c for chunks in split for c in chunks if c not in known})
+        for lo in range(0, len(new), 10_000):
+            some = new[lo:lo + 10_000]
+            for c, e in zip(some, self.tok.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)):
                 (known if len(c) <= CACHE_BYTES else far)[c] = np.asarray(e.ids, self.dtype).tobytes()
         if far:
-            return b"".join(known[c] if c in known else far[c] for c in chunks)
-        return b"".join(map(known.__getitem__, chunks))
+            return [b"".join([known[c] if c in known else far[c] for c in chunks]) for chunks in split]
+        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+
+    def encode(self, text: bytes) -> bytes:
+        return self.encode_many([text])[0]
 
 
 def encoder(path: str) -> Encoder:
@@ -76,7 +90,7 @@ def tokenize(df: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col:
         width = np.dtype(enc.dtype).itemsize
         for batch in it:
             for b in batches(batch):
-                ids = [(enc.encode(t) if t else b"") + end for t in utf8(b.column(1))]
+                ids = [x + end for x in enc.encode_many(utf8(b.column(1)))]
                 n = np.array([len(x) // width for x in ids], np.int64)
                 start = at + np.cumsum(n) - n
                 at += int(n.sum())
