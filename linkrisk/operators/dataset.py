@@ -132,7 +132,7 @@ def label_correlation(df: DataFrame, cols: list[str] = FEATURE_COLS, label: str
     row = df.agg(*aggs)
     stack = ", ".join(f"'{c}', r_{c}" for c in cols)
     return row.selectExpr(f"stack({len(cols)}, {stack}) AS (feature, corr)").withColumn(
-        "abs_corr", F.abs("corr"))
+        "abs_corr", F.abs("corr")).orderBy(F.desc_nulls_last("abs_corr"), "feature")
 
 
 def validate_urls(df: DataFrame, url: str = "url") -> tuple[DataFrame, DataFrame]:

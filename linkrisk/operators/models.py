@@ -76,7 +76,7 @@ def estimators(n_rows: int, label: str = "label", features: str = "features", we
                                 minInstancesPerNode=5, maxBins=256, seed=seed)
     gbt = GBTClassifier(featuresCol=features, labelCol=label, weightCol=weight, maxIter=10 if fast else 100,
                         maxDepth=4, stepSize=0.05, subsamplingRate=0.7, featureSubsetStrategy="0.8", seed=seed)
-    return {"logistic_regression": lr, "random_forest": rf, "xgboost": gbt}
+    return {"logistic_regression": lr, "random_forest": rf, "gradient_boosting": gbt}
 
 
 def score(df: DataFrame, model, out: str = "rf_score", pred: str = "pred") -> DataFrame:
@@ -119,7 +119,8 @@ def train_compare(train: DataFrame, test: DataFrame, label: str = "label", model
 
 def cross_validate(df: DataFrame, estimator, folds: DataFrame | None = None, k: int = 5,
                    label: str = "label") -> DataFrame:
-    """Per-fold F1 on stratified folds (E2); summary via metrics.cv_summary."""
+    """Per-fold F1 on stratified folds (E2); summary via metrics.cv_summary.
+    ``estimator`` may be a function of the number of training rows."""
     from linkrisk.operators.metrics import binary_metrics
     from linkrisk.operators.split import stratified_folds
     spark = df.sparkSession
@@ -129,7 +130,8 @@ def cross_validate(df: DataFrame, estimator, folds: DataFrame | None = None, k:
     for i in range(k):
         tr = with_class_weights(assemble(f.filter(F.col("fold") != i)), label)
         te = assemble(f.filter(F.col("fold") == i))
-        m = estimator.fit(tr)
+        # the regularisation depends on the rows of this fold's training part
+        m = (estimator(tr.count()) if callable(estimator) else estimator).fit(tr)
         bm = binary_metrics(score(te, m, "p1", "pred"), label, "pred").first()
         rows.append((i, float(bm["f1"])))
     return spark.createDataFrame(rows, "fold int, f1 double")

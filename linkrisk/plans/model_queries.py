@@ -88,13 +88,9 @@ def q_feature_importance(spark, sf_dir):
 def q_cv_scores(spark, sf_dir):
     """5-fold CV F1 of the linear model on the training split."""
     p = prepared(spark, sf_dir)
-    tr = p["train"]
-    est = Mo.estimators(1)["logistic_regression"]
-    n = tr.count()
-    est = est.setRegParam(1.0 / (0.1 * n))
-    folds = Mo.cross_validate(tr, est)
+    folds = Mo.cross_validate(p["train"], lambda n: Mo.estimators(n)["logistic_regression"])
     summ = M.cv_summary(folds)
-    return folds.crossJoin(summ)
+    return folds.crossJoin(F.broadcast(summ))
 
 
 def _shap_sample(spark, sf_dir, n: int = 500) -> DataFrame:
@@ -147,7 +143,7 @@ def q_linear_shap(spark, sf_dir):
     fitted, _ = trained(spark, sf_dir)
     p = prepared(spark, sf_dir)
     lr = fitted["logistic_regression"]
-    bg = X.background_mean(S.seeded_sample(p["test"], 500, key_cols=("url",)))
+    bg = X.background_mean(p["scaled"])
     sh = X.linear_shap(p["test"].select("url", "label", *FEATURE_COLS), lr.coefficients.toArray().tolist(), bg)
     return X.top_reasons(sh, 5).select("url", "label", *[f"phi_{c}" for c in FEATURE_COLS], "reasons")
 
@@ -162,15 +158,14 @@ def q_linear_top_reasons(spark, sf_dir):
 
 
 def q_evaluation_report(spark, sf_dir):
+    """I16: the selected model's metrics, cost-optimal threshold and error totals."""
     fitted, metrics = trained(spark, sf_dir)
     best = M.select_best(metrics, "ordinal").first()["model"]
-    s = _rf_test_scores(spark, sf_dir)
-    cost = M.cost_threshold(M.threshold_sweep(s, "label", "rf_score")).first()
-    errs = M.error_samples(s, "label", "pred", 20, ["url"]).groupBy("error_type").count().collect()
-    n = {r["error_type"]: r["count"] for r in errs}
+    s = Mo.score(Mo.assemble(prepared(spark, sf_dir)["test"]), fitted[best], "p1", "pred")
+    cost = M.cost_threshold(M.threshold_sweep(s, "label", "p1")).first()
+    n = metrics.filter(F.col("model") == best).first()
     return Mo.evaluation_report(metrics, best, (THRESHOLD_DANGEROUS, THRESHOLD_SUSPICIOUS),
-                                cost["threshold"] if cost else None, n.get("False Positive", 0),
-                                n.get("False Negative", 0))
+                                cost["threshold"] if cost else None, n["fp"], n["fn"])
 
 
 # ------------------------------------------------------------------ campaigns
@@ -186,14 +181,14 @@ def _phishing_points(spark, sf_dir) -> DataFrame:
 
 
 def _campaign_fit(spark, sf_dir):
+    """One fit and one numbering, shared by every campaign query and the stream."""
     key = _memo_key("campaign", spark, sf_dir)
     if key not in _MEMO:
         pts = cut_lineage(_phishing_points(spark, sf_dir))
-        sample = cut_lineage(S.seeded_sample(pts, 3000, key_cols=("url",)))
-        k, scores = C.choose_k(sample, "url", C.offline_candidates())
-        model = C.fit_kmeans(pts, k)
-        assigned = C.renumber_by_size(C.assign_nearest(pts, C.centroid_table(model)))
-        _MEMO[key] = {"points": pts, "sample": sample, "k": k, "scores": scores, "assigned": assigned.cache()}
+        k, scores = C.choose_k(pts, C.offline_candidates())
+        cents = C.numbered_centroids(pts, C.fit_kmeans(pts, k))
+        _MEMO[key] = {"points": pts, "k": k, "scores": scores, "centroids": cents,
+                      "assigned": C.assign_nearest(pts, cents)}
     return _MEMO[key]
 
 
@@ -203,11 +198,9 @@ def q_kmeans_campaigns(spark, sf_dir):
 
 
 def q_campaign_summary(spark, sf_dir):
-    """C9 + D14 + F3: campaigns by size with their centroid (k rows, broadcast)."""
+    """C9 + D14: every campaign by size with its centroid (k rows, broadcast)."""
     c = _campaign_fit(spark, sf_dir)
-    model = C.fit_kmeans(c["points"], c["k"])
-    assigned = C.assign_nearest(c["points"], C.centroid_table(model))
-    return C.campaign_summary(assigned, C.centroid_table(model)).limit(10)
+    return C.campaign_summary(c["assigned"], c["centroids"])
 
 
 def q_choose_k(spark, sf_dir):
@@ -218,14 +211,15 @@ def q_choose_k(spark, sf_dir):
 
 def q_dbscan_compare(spark, sf_dir):
     c = _campaign_fit(spark, sf_dir)
-    lab = C.dbscan(c["sample"], "url", eps=1.5, min_pts=10)
+    # the original's own bounded sample (its 3,000 rows are the feature)
+    sample = cut_lineage(S.seeded_sample(c["points"], 3000, key_cols=("url",)))
+    lab = C.dbscan(sample, "url", eps=1.5, min_pts=10)
     return C.dbscan_summary(lab).withColumn("kmeans_k", F.lit(c["k"]))
 
 
 def q_pca_2d(spark, sf_dir):
     c = _campaign_fit(spark, sf_dir)
-    s = c["sample"].join(c["assigned"].select("url", "cluster"), "url")
-    return C.pca_2d(s).select("url", "cluster", "pc1", "pc2")
+    return C.pca_2d(c["assigned"]).select("url", "cluster", "pc1", "pc2")
 
 
 # ------------------------------------------------------------------ embeddings (SQL-checked)
@@ -287,19 +281,16 @@ GROUP BY a.vec_id"""
 
 
 def q_silhouette(spark, sf_dir):
-    s = C.silhouette_euclidean(_emb_sample(spark, sf_dir, 1000), "vec_id", "label")
-    return s.agg(round_even(F.avg("s"), 9).alias("silhouette"), F.count(F.lit(1)).alias("n"))
-
-
-SQL_SILHOUETTE = O.with_ctes(_emb_sample_sql(1000), """pd AS (SELECT a.vec_id, a.label AS la, b.label AS lb,
- list_distance(a.x, b.x) AS d
- FROM s a JOIN s b ON a.vec_id <> b.vec_id)""", """per AS (SELECT vec_id, la, lb, avg(d) AS md, count(*) AS c FROM pd GROUP BY 1, 2, 3)""",
-                             """sz AS (SELECT label, count(*) AS n FROM s GROUP BY label)""",
-                             """pt AS (SELECT s.vec_id, sz.n AS n_own,
- (SELECT md FROM per WHERE per.vec_id = s.vec_id AND per.lb = s.label) AS a,
- (SELECT min(md) FROM per WHERE per.vec_id = s.vec_id AND per.lb <> s.label) AS b
- FROM s JOIN sz ON s.label = sz.label)""") + """SELECT round_even(avg(CASE WHEN n_own <= 1 THEN 0.0E0
- WHEN greatest(a, b) = 0 THEN 0.0E0 ELSE (b - a) / greatest(a, b) END) * 1e9, 0) / 1e9 AS silhouette, count(*) AS n FROM pt"""
+    """C8/I11 over all vectors: simplified silhouette against the per-label centroids."""
+    e = _emb(spark, sf_dir)
+    cents = [r["c"] for r in _emb_centroids(e).orderBy("cid").collect()]  # one row per label
+    n = e.count()
+    return spark.createDataFrame([(C.simplified_silhouette(e, cents), n)], "s double, n long").select(
+        round_even(F.col("s"), 9).alias("silhouette"), "n")
+
+
+SQL_SILHOUETTE = O.with_ctes(EMB_SQL, """two AS (SELECT vec_id, list_sort(list(sqrt(d2))) AS d FROM dist GROUP BY vec_id)""") + """SELECT
+ round_even(avg(CASE WHEN d[2] > 0 THEN (d[2] - d[1]) / d[2] ELSE 0.0E0 END) * 1e9, 0) / 1e9 AS silhouette, count(*) AS n FROM two"""
 
 
 def register(qs: dict, sql: dict) -> None:

@@ -10,22 +10,9 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
 def build() -> tuple[dict[str, QueryFn], dict[str, str]]:
-    from linkrisk.plans import feature_queries
+    from linkrisk.plans import dataset_queries, feature_queries, model_queries, scanlog_queries, stream_queries
     qs: dict[str, QueryFn] = {}
     sql: dict[str, str] = {}
-    feature_queries.register(qs, sql)
-    for mod in _optional_modules():
+    for mod in (feature_queries, dataset_queries, scanlog_queries, model_queries, stream_queries):
         mod.register(qs, sql)
     return qs, sql
-
-
-def _optional_modules():
-    import importlib
-    out = []
-    for name in ["dataset_queries", "scanlog_queries", "model_queries", "stream_queries"]:
-        try:
-            out.append(importlib.import_module(f"linkrisk.plans.{name}"))
-        except ModuleNotFoundError as e:  # module not written yet
-            if name not in str(e):
-                raise
-    return out

@@ -54,13 +54,12 @@ def read_ranked_domains(spark: SparkSession, path: str) -> DataFrame:
 
 def read_verified_csv(spark: SparkSession, path: str) -> DataFrame:
     """A4: CSV with header, malformed lines dropped; URL column picked by name."""
-    # With CSV column pruning Spark parses only the selected column and never
-    # sees the extra fields of a bad line; detection needs every field parsed.
-    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
+    # With column pruning the reader parses only the selected column and never
+    # sees the extra fields of a bad line; this read needs every field parsed.
     cols = spark.read.option("header", True).csv(path).columns  # header only
     schema = T.StructType([T.StructField(c, T.StringType()) for c in cols]
                           + [T.StructField("_corrupt", T.StringType())])
-    df = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
+    df = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("columnPruning", False)
           .option("columnNameOfCorruptRecord", "_corrupt").csv(path))
     col = url_column(cols)
     # lines with a wrong field count are corrupt records: skipped
