@@ -18,6 +18,8 @@ like any other rows. An empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -36,6 +38,7 @@ class Encoder:
     """Token ids of texts as little-endian uint16/uint32 bytes."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.dtype = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
@@ -54,17 +57,24 @@ class Encoder:
 
     def encode_many(self, texts: list) -> list[bytes]:
         split = [self.chunks(t) if t else [] for t in texts]
-        known, far = self.known, {}
+        known = self.known
         if len(known) > CACHE_CHUNKS:
-            known.clear()
-        new = list({c for chunks in split for c in chunks if c not in known})
+            # the chunks met first are the frequent ones
+            for c in list(known)[CACHE_CHUNKS // 2:]:
+                del known[c]
+        here = dict.fromkeys(itertools.chain.from_iterable(split))  # each chunk of these texts once
+        new = []
+        for c in here:
+            ids = here[c] = known.get(c)
+            if ids is None:
+                new.append(c)
         for lo in range(0, len(new), 10_000):
             some = new[lo:lo + 10_000]
             for c, e in zip(some, self.tok.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)):
-                (known if len(c) <= CACHE_BYTES else far)[c] = np.asarray(e.ids, self.dtype).tobytes()
-        if far:
-            return [b"".join([known[c] if c in known else far[c] for c in chunks]) for chunks in split]
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+                here[c] = np.asarray(e.ids, self.dtype).tobytes()
+                if len(c) <= CACHE_BYTES:
+                    known[c] = here[c]
+        return [b"".join(map(here.__getitem__, chunks)) for chunks in split]
 
     def encode(self, text: bytes) -> bytes:
         return self.encode_many([text])[0]
