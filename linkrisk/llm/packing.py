@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -42,6 +43,7 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.dtype = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
+        self.code = np.dtype(self.dtype).char  # H or I, as struct names them
         self.known: dict[bytes, bytes] = {}
         # a tokenizer that lower-cases gives a chunk and its lower-cased form the same
         # ids, unless a special token is spelt in it
@@ -63,15 +65,13 @@ class Encoder:
             for c in list(known)[CACHE_CHUNKS // 2:]:
                 del known[c]
         here = dict.fromkeys(itertools.chain.from_iterable(split))  # each chunk of these texts once
-        new = []
-        for c in here:
-            ids = here[c] = known.get(c)
-            if ids is None:
-                new.append(c)
+        here = dict(zip(here, map(known.get, here)))
+        new = [c for c, ids in here.items() if ids is None]
         for lo in range(0, len(new), 10_000):
             some = new[lo:lo + 10_000]
             for c, e in zip(some, self.tok.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)):
-                here[c] = np.asarray(e.ids, self.dtype).tobytes()
+                ids = e.ids
+                here[c] = struct.pack(f"<{len(ids)}{self.code}", *ids)
                 if len(c) <= CACHE_BYTES:
                     known[c] = here[c]
         return [b"".join(map(here.__getitem__, chunks)) for chunks in split]
