@@ -29,6 +29,7 @@ wrong with a probability of the number of distinct n-grams divided by 2^56.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -44,18 +45,19 @@ BLOCK_CHARS, PARTITION_CHARS, LEAST = 24_000_000, 16_000_000, 16
 HASH_BITS = 56
 
 
-def grams(doc: np.ndarray, words: np.ndarray, order: int) -> list[np.ndarray]:
+def grams(doc: np.ndarray, words: np.ndarray, order: int) -> Iterator[np.ndarray]:
     """Hash of the n-gram that ends at each token, per n; 0 where the document's
     beginning is nearer."""
-    out = [words]
+    last = words
+    yield last
     for n in range(2, order + 1):
         g = np.zeros(len(words), np.uint64)
         if len(words) >= n:
             # hash of the shorter n-gram that ends one token earlier, and the token
             whole = doc[n - 1:] == doc[:len(doc) - n + 1]
-            g[n - 1:] = np.where(whole, mix(out[-1][n - 2:-1] * np.uint64(0x9E3779B97F4A7C15) + words[n - 1:] + np.uint64(n)), np.uint64(0))
-        out.append(g)
-    return out
+            g[n - 1:] = np.where(whole, mix(last[n - 2:-1] * np.uint64(0x9E3779B97F4A7C15) + words[n - 1:] + np.uint64(n)), np.uint64(0))
+        last = g
+        yield last
 
 
 def pack_sorted(x: np.ndarray) -> bytes:
@@ -116,7 +118,7 @@ def score_documents(df: DataFrame, order: int = ORDER, alpha: float = ALPHA, min
         split = []
         for g in grams(doc, words, order):
             u, c = np.unique(_short(g), return_counts=True)
-            u, c = u[u != 0], c[u != 0]
+            u, c = u[u != 0], c[u != 0].astype(np.uint32)
             at = np.searchsorted(u, starts)
             split.append((u, c, at, np.append(at[1:], len(u))))
         block = t.column("block")[0].as_py()
@@ -158,14 +160,14 @@ def score_documents(df: DataFrame, order: int = ORDER, alpha: float = ALPHA, min
         for n, g in enumerate(grams(doc, words, order), 1):
             u, inverse = np.unique(_short(g), return_inverse=True)
             known = u != 0
-            c = np.zeros(len(u), np.int64)
+            c = np.zeros(len(u), np.uint32)
             if got is not None and known.any():
                 c[known] = np.concatenate([unpack_counts(x) for x in got.column(f"c{n}").to_pylist()])
             count.append(c[inverse])
         log, unigram = np.zeros(len(words)), np.ones(len(words), bool)
         for n in range(2, order + 1):  # the longest n-gram seen often enough wins
             seen = count[n - 1] >= min_count
-            ctx = np.ones(len(words), np.int64)
+            ctx = np.ones(len(words), np.uint32)
             ctx[1:] = count[n - 2][:-1]  # the shorter n-gram that ends one token earlier
             log = np.where(seen, np.log(np.maximum(count[n - 1], 1) / np.maximum(ctx, 1)) + (order - n) * np.log(alpha), log)
             unigram &= ~seen
