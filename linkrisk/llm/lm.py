@@ -40,7 +40,7 @@ from linkrisk.llm.base import mix, store, utf8, word_hashes
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
 #: Characters of text in a block, and in the n-grams of a partition (about); least
 #: number of either.
-BLOCK_CHARS, PARTITION_CHARS, LEAST = 24_000_000, 16_000_000, 16
+BLOCK_CHARS, PARTITION_CHARS, LEAST = 16_000_000, 16_000_000, 16
 #: Bits of an n-gram's hash that travel.
 HASH_BITS = 56
 
