@@ -65,7 +65,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every document."""
-    return ngramjoin.jaccard_components(read_table(spark, sf_dir, "documents"))
+    return ngramjoin.jaccard_components(read_table(spark, sf_dir, "documents"), 3, 90)
 
 
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:

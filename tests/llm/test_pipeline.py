@@ -7,6 +7,7 @@ import corpus_pipeline as C
 from linkrisk.llm import decontamination as D
 from linkrisk.llm import toxicity as T
 from linkrisk.llm.queries import held_out
+from tests.llm import test_ngramjoin as N
 from tests.llm.test_linededup import brute as dedup
 from tests.llm.test_ngramjoin import brute as components
 
@@ -54,3 +55,25 @@ def test_no_stage_reads_a_prefix():
     """No limit or sample in the pipeline module."""
     with open(C.__file__) as f:
         assert not re.search(r"[.]limit\(|[.]sample\(", f.read())
+
+
+def test_near_copies_by_five_words(spark, rng, monkeypatch):
+    """The near-duplicate stage against all pairs of five-word sets at 0.8."""
+    monkeypatch.setattr(N, "sets_of", lambda texts, sets_of=N.sets_of: sets_of(texts, 5))
+    vocab = [f"v{i}" for i in range(2000)]
+    texts = []
+    for _ in range(12):
+        base = rng.choices(vocab, k=rng.choice([40, 100, 200]))
+        for edits in [0, 1, 1, 2, 2, 3, 4, 5]:
+            w = list(base)
+            for i in rng.sample(range(len(w)), edits):
+                w[i] = rng.choice(vocab)
+            texts.append(" ".join(w))
+    base = rng.choices(vocab, k=100)
+    texts += [" ".join(base), " ".join(["other", *base[1:49], "words", *base[50:]])]  # 0.89 of five words, 0.92 of three
+    texts += [" ".join(base[:50]), " ".join([*base[:24], "x", *base[25:50]])]  # 0.8 of five words, 0.88 of three
+    ids = list(range(len(texts)))
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in zip(ids, texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.doc_id for r in C.keep_one_of_each_group(spark, docs, SF).collect()}
+    assert out == {i for i, (n, c) in zip(ids, components(ids, texts, 80)) if not n or c == i}
+    assert ids[-1] not in out
