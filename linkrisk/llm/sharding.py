@@ -9,7 +9,8 @@ Scale: only ids, sizes and hashes move. A group's rows are first counted per
 (group, salt), so a text that holds a third of all rows never meets in one
 task. Prefix sums run per hash bucket; the buckets' totals (a fixed number of
 rows) carry the offsets. The search sees the buckets' ends, then only ends inside
-narrowing windows around the cuts (a range filter on the stored prefix sums);
+narrowing windows around the cuts (a range filter on the stored prefix sums), and
+while these hold too many, greedy cuts of a fixed number of capacities a round;
 the driver never holds more than a fixed number of ends.
 
 Edge cases: a null text has 0 bytes, CRC 0 and is one group of its own; an empty
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from linkrisk.llm.base import store
 
 #: Hash buckets of the prefix sums; sub-groups of a group; group ends that the
-#: driver may hold at once; bins of a window between two cuts.
-BUCKETS, SALTS, MOST_ENDS, BINS = 4096, 64, 50_000, 1024
+#: driver may hold at once; capacities tried in a round.
+BUCKETS, SALTS, MOST_ENDS, CAPS = 4096, 64, 50_000, 16
 
 
 def greedy(points: list[tuple[int, int]], cap: int, shards: int, total: int) -> list[tuple[int, int]] | None:
@@ -54,30 +55,55 @@ def least_capacity(points: list[tuple[int, int]], lo: int, hi: int, shards: int,
     return lo
 
 
+def exact_cuts(prefix: DataFrame, caps: list[int], shards: int, total: int, largest: int) -> list[list[tuple[int, int]]]:
+    """Cuts of greedy filling over all groups, for each capacity (of at least
+    ``largest``); one aggregate of a row per cut, for all capacities together.
+    Capacities that do not suffice end below ``total``."""
+    cuts = [[(0, 0)] for _ in caps]
+    for _ in range(shards):
+        ends = sorted({min(c[-1][0] + cap, total) for c, cap in zip(cuts, caps) if c[-1][0] < total})
+        if not ends:
+            break
+        # the last group end up to x lies behind x - largest
+        near = prefix.filter(F.col("end_bytes").between(ends[0] - largest, ends[-1]))
+        last = [F.max(F.when(F.col("end_bytes") <= x, F.col(c))) for x in ends for c in ("end_bytes", "end_rows")]
+        found = near.agg(*[m.alias(f"m{i}") for i, m in enumerate(last)]).first()
+        at = {x: (found[2 * i], found[2 * i + 1]) for i, x in enumerate(ends)}
+        for c, cap in zip(cuts, caps):
+            if c[-1][0] < total:
+                c.append(at[min(c[-1][0] + cap, total)])
+    return cuts
+
+
 def minimax_cuts(prefix: DataFrame, shards: int, total: int, largest: int) -> list[tuple[int, int]]:
     """Cuts (bytes, rows) for the smallest feasible capacity over all groups.
 
     The search starts from the ends of the hash buckets, whose answer is an upper
     bound. Cut i of any better answer lies between total - (shards - i) * bound and
-    i * bound; only there are more ends looked at, in finer bins, until few
-    enough are left to take them all."""
+    i * bound, and between the cuts i of a capacity that is too small and of one that
+    suffices; when few enough ends are left there, all are taken. Otherwise ``CAPS``
+    capacities are tried over all groups, which leaves one of ``CAPS`` parts of the
+    range: at most log(range) / log(CAPS) + 1 rounds, whatever the ends are."""
     lo = max(-(-total // shards), largest)
     ends = prefix.groupBy("b").agg(F.max(F.struct("end_bytes", "end_rows")).alias("e")).select("e.*").collect()
     points = sorted((r[0], r[1]) for r in ends)
-    while True:
-        hi = least_capacity(points, lo, total, shards, total)
-        if hi == lo:
-            break
-        windows = [(total - (shards - i) * hi, i * hi) for i in range(1, shards)]
-        near = prefix.filter(reduce(lambda a, b: a | b, [F.col("end_bytes").between(*w) for w in windows]))
+    hi = least_capacity(points, lo, total, shards, total)
+    best = greedy(points, hi, shards, total)
+    least, most = [0] * (shards + 1), [total] * (shards + 1)  # of cut i, from the capacities tried
+    while lo < hi:
+        windows = [(max(total - (shards - i) * hi, least[i]), min(i * hi, most[i])) for i in range(1, shards)]
+        near = prefix.filter(reduce(lambda a, b: a | b, [F.col("end_bytes").between(*w) for w in windows], F.lit(False)))
         if near.count() <= MOST_ENDS:
-            points = sorted({*points, *((r[0], r[1]) for r in near.select("end_bytes", "end_rows").collect())})
-            hi = least_capacity(points, lo, hi, shards, total)
-            break
-        width = max(1, (windows[0][1] - windows[0][0]) // BINS)
-        finer = near.groupBy(F.floor(F.col("end_bytes") / width)).agg(F.max(F.struct("end_bytes", "end_rows")).alias("e"))
-        points = sorted({*points, *((r[0], r[1]) for r in finer.select("e.*").collect())})
-    return greedy(points, hi, shards, total)
+            points = sorted({*best[1:], *((r[0], r[1]) for r in near.select("end_bytes", "end_rows").collect())})
+            return greedy(points, least_capacity(points, lo, hi, shards, total), shards, total)
+        caps = sorted({lo + (hi - lo) * k // CAPS for k in range(CAPS)})
+        for cap, cuts in zip(caps, exact_cuts(prefix, caps, shards, total, largest)):
+            if cuts[-1][0] >= total:
+                hi, best = cap, cuts
+                most = [c for c, _ in cuts] + [total] * (shards + 1 - len(cuts))
+                break
+            lo, least = cap + 1, [c for c, _ in cuts]
+    return best
 
 
 def shard_by_bytes(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

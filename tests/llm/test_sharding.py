@@ -54,3 +54,30 @@ def test_edges(spark):
     assert S.shard_by_bytes(empty, 8).count() == 0
     one = S.shard_by_bytes(spark.createDataFrame([(1, "same", "x", "y")] * 5 + [(None, "same", None, None)], SCHEMA), 8).collect()
     assert {r.shard for r in one} == {0} and sorted(r.slot for r in one) == list(range(6))
+
+
+@pytest.mark.parametrize("share,place,most_ends", [(0.05, 0.49, 3), (0.05, 0.49, 0), (0.13, 0.1, 40), (0.08, 0.63, 3)])
+def test_search_ends_with_a_large_group_across_a_cut(spark, rng, monkeypatch, share, place, most_ends):
+    """More ends in the windows at the optimum than the driver may hold."""
+    monkeypatch.setattr(S, "MOST_ENDS", most_ends)
+    rounds, search = [], S.least_capacity
+
+    def counted(*a):
+        rounds.append(a)
+        assert len(rounds) < 30, "the search does not end"
+        return search(*a)
+
+    monkeypatch.setattr(S, "least_capacity", counted)
+    sizes = [rng.randint(1, 20) for _ in range(1500)]
+    sizes.insert(int(place * len(sizes)), int(share / (1 - share) * sum(sizes)))
+    rows, end = [], 0
+    for i, x in enumerate(sizes):
+        end += x
+        rows.append((i * 7 // len(sizes), end, i + 1))
+    prefix = S.store(spark.createDataFrame(rows, "b int, end_bytes long, end_rows long"), "t")
+    cuts = S.minimax_cuts(prefix, 8, end, max(sizes))
+    ends = {0: 0} | {b: n for _, b, n in rows}
+    assert cuts[0] == (0, 0) and cuts[-1] == (end, len(sizes)) and len(cuts) <= 9
+    assert all(ends[b] == n for b, n in cuts)
+    best = brute(sizes, 8)
+    assert max(y[0] - x[0] for x, y in zip(cuts, cuts[1:])) == best > max(-(-end // 8), max(sizes))
