@@ -54,6 +54,8 @@ REPORTS = frozenset("""said says say called calls wrote quoted claims claimed to
 SCOPE = 3  # tokens after a negation
 
 _TOKEN = re.compile(r"[^\W_]+|[.!?;:\n]+")
+#: Beyond ASCII, what ends a token (punctuation, spaces, marks): the hashes split at ASCII bytes only.
+_WIDE = re.compile(r"[^\x00-\x7f\w]+")
 
 
 # --- transducers ------------------------------------------------------------
@@ -173,8 +175,11 @@ def hit_filter(lexicon: Lexicon):
     def isin(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
 
+    def plain(t: str) -> str:
+        return t if t.isascii() else _WIDE.sub(" ", t)
+
     def run(texts: list) -> np.ndarray:
-        doc, h, pre = word_hashes([t.lower().encode() if t else None for t in texts], PUNCT, lengths)
+        doc, h, pre = word_hashes([plain(t.lower()).encode() if t else None for t in texts], PUNCT, lengths)
         hit = isin(h, known)
         for k, p in zip(lengths, pre):
             hit |= isin(p, begin[k])

@@ -57,3 +57,12 @@ def test_edges(spark):
     assert len(got) == 4 and all(0 <= r.score <= 1 for r in got)
     assert {r.doc_id: r.score >= 0.3 for r in got} == {1: False, 2: False, None: True, 3: False}
     assert T.score(docs.limit(0).drop("score"), model).count() == 0
+
+
+@pytest.mark.parametrize("around", ["“{}”", "« {} »", "{}…", "{}—so", " {} ", "、{}。", "‘{}’", "¿{}?", " {}　", "_{}́", "·{}·", "é„{}“é"])
+@pytest.mark.parametrize("word", ["idiot", "CRÉTIN", "zork", "blargly", "imbécile"])
+def test_hits_hold_whenever_a_clause_does(around, word):
+    """Tokens end at Unicode punctuation, spaces and marks in the filter too."""
+    text = "well " + around.format(word)
+    assert T.clause_labels(text, LEX) and T.hit_filter(LEX)([text]).tolist() == [True]
+    assert T.hit_filter(LEX)(["well " + around.format("friend"), None]).tolist() == [False, False]
