@@ -43,6 +43,8 @@ ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
 BLOCK_CHARS, PARTITION_CHARS, LEAST = 16_000_000, 16_000_000, 16
 #: Bits of an n-gram's hash that travel.
 HASH_BITS = 56
+#: Largest count of 32 bits.
+_MOST = 0xFFFFFFFF
 
 
 def grams(doc: np.ndarray, words: np.ndarray, order: int) -> Iterator[np.ndarray]:
@@ -81,12 +83,34 @@ def unpack_sorted(b: bytes) -> np.ndarray:
 
 
 def pack_counts(x: np.ndarray) -> bytes:
-    return zlib.compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    """Counts as 32-bit values; the few that need more follow an (index, count) list."""
+    large = np.flatnonzero(x > _MOST)
+    listed = np.stack([large, x[large]]).astype("<i8").tobytes()
+    low = (x & _MOST).astype("<u4")
+    return len(large).to_bytes(8, "little") + listed + zlib.compress(low.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
 def unpack_counts(b: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(b), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    n = int.from_bytes(b[:8], "little")
+    planes = np.frombuffer(zlib.decompress(b[8 + 16 * n:]), np.uint8).reshape(4, -1)
+    x = np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    large = np.frombuffer(b, "<i8", 2 * n, 8).reshape(2, n)
+    x[large[0]] = large[1]
+    return x
+
+
+def narrow(x: np.ndarray) -> np.ndarray:
+    """``x`` as 32-bit values where all fit."""
+    return x.astype(np.uint32) if not len(x) or x.max() <= _MOST else x
+
+
+def add_up(hashes: list[bytes], counts: list[bytes]) -> list[bytes]:
+    """For each block's packed n-grams, their counts over all blocks."""
+    each = [unpack_sorted(x) for x in hashes]
+    u, inverse = np.unique(np.concatenate(each), return_inverse=True)
+    weights = np.concatenate([unpack_counts(x) for x in counts])
+    total = np.bincount(inverse, weights=weights, minlength=len(u)).astype(np.int64)[inverse]  # exact up to 2^53
+    return [pack_counts(x) for x in np.split(total, np.cumsum([len(x) for x in each])[:-1])]
 
 
 def _short(g: np.ndarray) -> np.ndarray:
@@ -141,12 +165,7 @@ def score_documents(df: DataFrame, order: int = ORDER, alpha: float = ALPHA, min
         import pyarrow as pa
         out = {"block": t.column("block"), "part": t.column("part")}
         for n in range(1, order + 1):
-            each = [unpack_sorted(x) for x in t.column(f"g{n}").to_pylist()]
-            counts = np.concatenate([unpack_counts(x) for x in t.column(f"c{n}").to_pylist()])
-            u, inverse = np.unique(np.concatenate(each), return_inverse=True)
-            total = np.bincount(inverse, weights=counts, minlength=len(u)).astype(np.int64)[inverse]
-            ends = np.cumsum([len(x) for x in each])
-            out[f"c{n}"] = pa.array([pack_counts(x) for x in np.split(np.minimum(total, 0xFFFFFFFF), ends[:-1])], pa.binary())
+            out[f"c{n}"] = pa.array(add_up(t.column(f"g{n}").to_pylist(), t.column(f"c{n}").to_pylist()), pa.binary())
         return pa.table(out)
 
     answers = asked.groupBy("part").applyInArrow(answer, f"block int, part int, {counted}")
@@ -162,12 +181,14 @@ def score_documents(df: DataFrame, order: int = ORDER, alpha: float = ALPHA, min
             known = u != 0
             c = np.zeros(len(u), np.uint32)
             if got is not None and known.any():
-                c[known] = np.concatenate([unpack_counts(x) for x in got.column(f"c{n}").to_pylist()])
+                answered = narrow(np.concatenate([unpack_counts(x) for x in got.column(f"c{n}").to_pylist()]))
+                c = c.astype(answered.dtype)
+                c[known] = answered
             count.append(c[inverse])
         log, unigram = np.zeros(len(words)), np.ones(len(words), bool)
         for n in range(2, order + 1):  # the longest n-gram seen often enough wins
             seen = count[n - 1] >= min_count
-            ctx = np.ones(len(words), np.uint32)
+            ctx = np.ones(len(words), count[n - 2].dtype)
             ctx[1:] = count[n - 2][:-1]  # the shorter n-gram that ends one token earlier
             log = np.where(seen, np.log(np.maximum(count[n - 1], 1) / np.maximum(ctx, 1)) + (order - n) * np.log(alpha), log)
             unigram &= ~seen

@@ -65,3 +65,15 @@ def test_words_of_long_texts():
     small = word_hashes([w for w in dict.fromkeys(words)])[1]
     key = dict(zip(dict.fromkeys(words), small))
     assert (h == np.array([key[w] for w in words], np.uint64)).all() and len(set(key.values())) == len(key)
+
+
+def test_counts_beyond_32_bits():
+    """Counts survive packing, and are added up over blocks, above 2^32."""
+    x = np.array([1, 2**32 - 1, 2**32, 5, 13 * 10**9, 2**32 + 7], np.int64)
+    assert L.unpack_counts(L.pack_counts(x)).tolist() == x.tolist()
+    assert L.unpack_counts(L.pack_counts(x[:0])).tolist() == []
+    grams = [np.array(g, np.uint64) for g in ([3, 9], [3, 7, 9], [7])]
+    counts = [np.array(c, np.uint32) for c in ([3 * 10**9, 1], [3 * 10**9, 2, 4], [2**32 - 1])]
+    got = L.add_up([L.pack_sorted(g) for g in grams], [L.pack_counts(c) for c in counts])
+    assert [L.unpack_counts(b).tolist() for b in got] == [[6 * 10**9, 5], [6 * 10**9, 2**32 + 1, 5], [2**32 + 1]]
+    assert L.narrow(x).tolist() == x.tolist() and L.narrow(x[:2]).dtype == np.uint32
