@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkrisk.llm import (decontamination, linededup, lm, ngramjoin, onebit, packing, pii, reputation, sharding,
-                          toxicity)
+from linkrisk.llm import (convrepair, decontamination, langid, linededup, lm, ngramjoin, onebit, packing, periodic, pii,
+                          reputation, sharding, toxicity)
 from linkrisk.llm.base import read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -89,13 +89,49 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return onebit.neighbours(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document, after the contract's planting of periods."""
+    docs = periodic.with_planted_periods(read_table(spark, sf_dir, "documents"))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    best = F.col("strongest")
+    return periodic.periodic_runs(docs).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
+        best["period"].alias("period"), F.floor(best["length"] * 1000 / best["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from those that are not held out."""
+    docs = read_table(spark, sf_dir, "documents")
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1
+    profiles = langid.learn_profiles(docs.filter(~held), F.col("lang").cast("string"), F.col("text").cast("string"))
+    return langid.identify(docs, profiles).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's faults after the contract's damage, and its cheapest repair."""
+    source = read_table(spark, sf_dir, "conversations")
+    done = convrepair.repair(convrepair.damaged(source))
+    ids = source.select("conv_id").distinct()
+
+    def add(out: DataFrame, more: DataFrame) -> DataFrame:
+        more = more.withColumnRenamed("conv_id", "_id")
+        return out.join(more, out["conv_id"].eqNullSafe(more["_id"]), "left").drop("_id")
+
+    out = add(add(add(ids, done.report), convrepair.audits(done)), convrepair.sequence_digests(convrepair.repaired_rows(done)))
+    counts = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+                      F.coalesce("digest", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
 
 
 OPS = [op1_lm_score, op2_line_dedup, op3_url_reputation, op4_pack, op5_toxicity, op6_decontaminate, op7_ngram_jaccard,
-       op8_shard, op9_pii, op10_nearest, pipeline]
+       op8_shard, op9_pii, op10_nearest, op11_periodic_runs, op12_language, op13_conversation_repair, pipeline]
 
 
 def register(queries: dict, sql: dict) -> None:
