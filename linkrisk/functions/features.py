@@ -21,6 +21,7 @@ from linkrisk.constants import (
     DIGIT_CLASS, ALL_FEATURE_COLS, BASE_FEATURE_COLS, BRAND_NAMES, DOUBLE_FEATURES,
     EXTRA_FEATURE_COLS, FEATURE_EXPLANATIONS, FLAG_RULES, NO_HOST_DISTANCE,
     SUSPICIOUS_TLDS, SUSPICIOUS_WORDS,
+    REPORT_GOOD_FEATURES, REPORT_RISK_RULES,
 )
 from linkrisk.functions.suffix import with_registered_domain
 from linkrisk.functions.urlparts import drop_parts, part_names, stage, with_url_parts
@@ -220,6 +221,16 @@ def feature_report(df: DataFrame, id_cols: list[str], suffix_rules: DataFrame |
     return f.selectExpr(*id_cols, stack)
 
 
+def report_flags(df: DataFrame, id_cols: list[str]) -> DataFrame:
+    """H28, report variant: every base feature with its state: risk, good or neutral."""
+    f = with_url_features(df.select(*id_cols), "url")
+    risk = {name: f"{name} {op} {v}" for name, op, v in REPORT_RISK_RULES}
+    good = {name: f"{name} != 0" for name in REPORT_GOOD_FEATURES}
+    args = [f"'{c}', CAST({c} AS DOUBLE), CASE WHEN {risk.get(c, 'false')} THEN 'risk' WHEN {good.get(c, 'false')} THEN 'good' "
+            "ELSE 'neutral' END" for c in BASE_FEATURE_COLS]
+    return f.selectExpr(*id_cols, f"stack({len(args)}, {', '.join(args)}) AS (feature, value, state)")
+
+
 def flagged_features(df: DataFrame, id_cols: list[str]) -> DataFrame:
     """The 12-feature panel with its per-feature risk flag."""
     f = with_url_features(df.select(*id_cols), "url")

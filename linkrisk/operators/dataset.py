@@ -81,6 +81,11 @@ def class_stats(df: DataFrame, label: str = "label", url: str = "url") -> DataFr
                                                 "avg_url_length")
 
 
+def dataset_totals(df: DataFrame, url: str = "url") -> DataFrame:
+    """D2 over all classes: number of URLs and their average length."""
+    return df.agg(F.count(F.lit(1)).alias("n"), F.avg(F.length(url)).alias("avg_url_length"))
+
+
 def length_histogram(df: DataFrame, label: str = "label", url: str = "url", bins: int = 50) -> DataFrame:
     """D3: equal-width URL-length histogram per class, last bin closed.
 

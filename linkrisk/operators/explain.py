@@ -3,12 +3,13 @@
 * Linear models: ``coef_j * (x_j - mean_j)`` per feature, a plain column
   expression (JVM, no Python).
 * Tree ensembles (random forest probability, boosted-tree margin): exact
-  path-dependent TreeSHAP (Lundberg, Erion & Lee, arXiv:1802.03888,
-  Algorithm 2). The fitted model's node table is read back from its saved
-  form (a model-sized table, bounded by trees x 2^depth, size-checked) and
-  broadcast; ``mapInPandas`` then explains each Arrow batch with numpy,
-  vectorised over the batch's rows (the recursion is the same for every row,
-  only the "one fractions" differ). Invariant: sum(phi) + base = model output.
+  path-dependent TreeSHAP values (Lundberg, Erion & Lee, arXiv:1802.03888). The
+  fitted model's node table is read back from its saved form and turned into
+  leaf-path tables: per leaf its features, their intervals and cover shares.
+  An Arrow UDF compares each batch with the intervals and adds up the leaves'
+  Shapley values, one evaluation per distinct pattern of met conditions. It is
+  a narrow projection, so it explains every row, in batch and in streams.
+  Invariant: sum(phi) + base = model output.
 * Reasons: the top-k features by |contribution| per row, via ``sort_array``
   over an array of structs -- per row, no shuffle.
 """
@@ -17,17 +18,19 @@ from __future__ import annotations
 
 import os
 import uuid
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkrisk.constants import FEATURE_COLS, SHAP_TEXT
 from linkrisk.functions.rules import direction
 from linkrisk.session import ensure_checkpoint_dir
 
-MAX_TREE_NODES = 20_000_000
+#: Path entries (leaf x feature, about 32 bytes) that travel to the tasks in one part.
+PART_CELLS = 4_000_000
 
 
 # ------------------------------------------------------------------ linear
@@ -54,14 +57,11 @@ def tree_table(model) -> tuple[list[dict], list[float]]:
     path = os.path.join(ensure_checkpoint_dir(spark), f"model-{uuid.uuid4().hex}")
     model.write().overwrite().save(path)
     nodes = spark.read.parquet(os.path.join(path, "data"))
-    n = nodes.count()
-    if n > MAX_TREE_NODES:
-        raise ValueError(f"model has {n} nodes, above the broadcast bound {MAX_TREE_NODES}")
     pdf = nodes.select(
         "treeID", F.col("nodeData.id").alias("id"), F.col("nodeData.prediction").alias("prediction"),
         F.col("nodeData.impurityStats").alias("stats"), F.col("nodeData.leftChild").alias("left"),
         F.col("nodeData.rightChild").alias("right"), F.col("nodeData.split.featureIndex").alias("feat"),
-        F.col("nodeData.split.leftCategoriesOrThreshold").alias("thr")).toPandas()
+        F.col("nodeData.split.leftCategoriesOrThreshold").alias("thr")).toPandas()  # as large as the model, which the driver holds
     weights = [1.0] * (int(pdf["treeID"].max()) + 1 if len(pdf) else 0)
     if not type(model).__name__.startswith("RandomForest"):  # boosted trees carry weights
         wm = spark.read.parquet(os.path.join(path, "treesMetadata")).selectExpr("_1 AS treeID", "_3 AS weights").toPandas()
@@ -95,63 +95,83 @@ def tree_table(model) -> tuple[list[dict], list[float]]:
     return trees, weights
 
 
-def _extend(md, mz, mo, mw, pz, po, pi, n):
-    ln = len(md)
-    md, mz, mo = md + [pi], mz + [pz], mo + [po]
-    mw = [w.copy() for w in mw] + [np.ones(n) if ln == 0 else np.zeros(n)]
-    for i in range(ln - 1, -1, -1):
-        mw[i + 1] = mw[i + 1] + po * mw[i] * ((i + 1) / (ln + 1))
-        mw[i] = pz * mw[i] * ((ln - i) / (ln + 1))
-    return md, mz, mo, mw
-
-
-def _unwind(md, mz, mo, mw, i):
-    ln = len(md) - 1
-    o, z = mo[i], mz[i]
-    nw = mw[ln].copy()
-    out = [w.copy() for w in mw[:ln]]
-    nz = o != 0
-    safe_o = np.where(nz, o, 1.0)
-    for j in range(ln - 1, -1, -1):
-        t = mw[j]
-        w_if = nw * (ln + 1) / ((j + 1) * safe_o)
-        w_else = (t * (ln + 1) / (z * (ln - j))) if z != 0 else np.zeros_like(t)
-        out[j] = np.where(nz, w_if, w_else)
-        nw = np.where(nz, t - w_if * z * (ln - j) / (ln + 1), nw)
-    return md[:i] + md[i + 1:], mz[:i] + mz[i + 1:], mo[:i] + mo[i + 1:], out
-
-
-def _unwound_sum(md, mz, mo, mw, i):
-    return sum(_unwind(md, mz, mo, mw, i)[3])
+def leaf_paths(tree: dict, scale: float = 1.0) -> list[tuple]:
+    """Per leaf with at least one split above it: its distinct features, the interval
+    (lo, hi] that each must lie in (NaN: no bound), the share of each one's splits'
+    cover that reaches the leaf, and the scaled leaf value."""
+    left, right, feat, thr, cover = (tree[c] for c in ("left", "right", "feat", "thr", "cover"))
+    out, todo = [], [(0, {})]
+    while todo:
+        j, path = todo.pop()
+        if left[j] < 0:
+            if path:
+                lo, hi, share = zip(*path.values())
+                out.append((list(path), lo, hi, share, scale * tree["value"][j]))
+            continue
+        f = int(feat[j])
+        lo, hi, share = path.get(f, (np.nan, np.nan, 1.0))
+        for child, bounds in ((int(left[j]), (lo, np.fmin(hi, thr[j]))), (int(right[j]), (np.fmax(lo, thr[j]), hi))):
+            todo.append((child, path | {f: (*bounds, share * cover[child] / cover[j])}))
+    return out
+
+
+class LeafTable:
+    """The leaves of some trees, by path length d, as arrays: features, lo, hi and share
+    (leaves x d) and value."""
+
+    def __init__(self, leaves: list[tuple]):
+        by_length: dict[int, list] = {}
+        for leaf in leaves:
+            by_length.setdefault(len(leaf[0]), []).append(leaf)
+        self.groups = [(np.array([x[0] for x in g], np.int64), *(np.array([x[i] for x in g], float) for i in (1, 2, 3, 4)))
+                       for _, g in sorted(by_length.items())]
+
+    def shap(self, x: np.ndarray, n_features: int, cells: int = 1 << 21) -> np.ndarray:
+        """SHAP values (rows x features). Equal rows are worked out once; so are equal
+        patterns of met conditions at a leaf."""
+        x, back = np.unique(x, axis=0, return_inverse=True)
+        phi = np.zeros(len(x) * n_features)
+        row = np.arange(len(x))[:, None, None] * n_features
+        for feat, lo, hi, share, value in self.groups:
+            d = feat.shape[1]
+            step = max(1, cells // max(1, len(x) * d))
+            for a in range(0, len(feat), step):
+                f = feat[a:a + step]
+                v = x[:, f]  # rows x leaves x d
+                met = ~(v <= lo[a:a + step]) & ((v <= hi[a:a + step]) | np.isnan(hi[a:a + step]))
+                key = (met << np.arange(d)).sum(axis=2) + (np.arange(len(f)) << d)
+                keys, at = np.unique(key, return_inverse=True)
+                leaf = a + (keys >> d)
+                part = path_shap((keys[:, None] >> np.arange(d)) & 1 == 1, share[leaf], value[leaf])
+                phi += np.bincount((row + f).ravel(), part[at.reshape(key.shape)].ravel(), len(phi))
+        return phi.reshape(len(x), n_features)[back.reshape(-1)]
+
+
+def path_shap(met: np.ndarray, share: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Shapley values of the path game of leaves (n x d): a coalition's worth is the leaf
+    value times, for each feature, whether its condition is met (inside the coalition)
+    or its cover share (outside).
+
+    The weight of a coalition of size s, s! (d-1-s)! / d!, is the integral of
+    t^s (1-t)^(d-1-s) over 0..1, so feature i gets value * (met_i - share_i) times the
+    integral of the product, over the others, of met_j t + share_j (1-t): a polynomial of
+    degree d - 1, for which Gauss-Legendre quadrature with d/2 nodes is exact.
+    """
+    n, d = met.shape
+    node, weight = np.polynomial.legendre.leggauss((d + 1) // 2)
+    t, weight = (node + 1) / 2, weight / 2
+    factor = met[:, :, None] * t + share[:, :, None] * (1 - t)  # n x d x nodes
+    before = np.ones_like(factor)
+    after = np.ones_like(factor)
+    for j in range(1, d):
+        before[:, j] = before[:, j - 1] * factor[:, j - 1]
+        after[:, d - 1 - j] = after[:, d - j] * factor[:, d - j]
+    return value[:, None] * (met - share) * ((before * after) @ weight)
 
 
 def tree_shap_batch(x: np.ndarray, tree: dict, n_features: int) -> np.ndarray:
-    """Path-dependent TreeSHAP of one tree for all rows of ``x`` at once."""
-    n = x.shape[0]
-    phi = np.zeros((n, n_features))
-    left, right, feat, thr = tree["left"], tree["right"], tree["feat"], tree["thr"]
-    value, cover = tree["value"], tree["cover"]
-
-    def recurse(j, md, mz, mo, mw, pz, po, pi):
-        md, mz, mo, mw = _extend(md, mz, mo, mw, pz, po, pi, n)
-        if left[j] < 0:
-            for i in range(1, len(md)):
-                w = _unwound_sum(md, mz, mo, mw, i)
-                phi[:, md[i]] += w * (mo[i] - mz[i]) * value[j]
-            return
-        d = int(feat[j])
-        go_left = (x[:, d] <= thr[j]).astype(np.float64)
-        iz, io = 1.0, np.ones(n)
-        k = next((p for p in range(1, len(md)) if md[p] == d), None)
-        if k is not None:
-            iz, io = mz[k], mo[k]
-            md, mz, mo, mw = _unwind(md, mz, mo, mw, k)
-        a, b = int(left[j]), int(right[j])
-        recurse(a, md, mz, mo, mw, iz * cover[a] / cover[j], io * go_left, d)
-        recurse(b, md, mz, mo, mw, iz * cover[b] / cover[j], io * (1.0 - go_left), d)
-
-    recurse(0, [], [], [], [], 1.0, np.ones(n), -1)
-    return phi
+    """Path-dependent TreeSHAP of one tree for all rows of ``x``."""
+    return LeafTable(leaf_paths(tree)).shap(x, n_features)
 
 
 def expected_value(tree: dict) -> float:
@@ -161,6 +181,48 @@ def expected_value(tree: dict) -> float:
     return float((c * tree["value"][leaves]).sum() / c.sum()) if c.sum() > 0 else 0.0
 
 
+def shap_base(model) -> float:
+    """I8: the ensemble's base value."""
+    return shap_parts(model)[1]
+
+
+def shap_parts(model) -> tuple[list[LeafTable], float]:
+    """The ensemble's leaf tables, in parts of at most PART_CELLS path entries (or one
+    tree), and its base value."""
+    trees, weights = tree_table(model)
+    if type(model).__name__.startswith("RandomForest"):
+        weights = [1.0 / len(trees)] * len(trees)
+    parts, held, cells = [], [], 0
+    for t, s in zip(trees, weights):
+        leaves = leaf_paths(t, s)
+        size = sum(len(x[0]) for x in leaves)
+        if held and cells + size > PART_CELLS:
+            parts.append(LeafTable(held))
+            held, cells = [], 0
+        held, cells = held + leaves, cells + size
+    return parts + [LeafTable(held)], float(sum(s * expected_value(t) for s, t in zip(weights, trees)))
+
+
+def with_tree_shap(df: DataFrame, model, cols: list[str] = FEATURE_COLS, out: str = "phi", base: str = "base") -> DataFrame:
+    """I7 + I8 for every row, batch or stream: ``out`` (array, in the order of ``cols``) and
+    ``base``. ``cols`` are the columns as the model saw them; the others stay in the JVM.
+    A model beyond PART_CELLS travels to the tasks in several parts."""
+    parts, expected = shap_parts(model)
+    m = len(cols)
+
+    def explainer(table: LeafTable):
+        @F.pandas_udf("array<double>")
+        def explain(x: pd.Series) -> pd.Series:
+            rows = np.stack(x.to_numpy()).astype(float) if len(x) else np.zeros((0, m))
+            return pd.Series(list(table.shap(rows, m)))
+        return explain
+
+    x = F.array(*[F.col(c).cast("double") for c in cols])
+    sums = [explainer(p)(x) for p in parts]
+    total = reduce(lambda a, b: F.zip_with(a, b, lambda p, q: p + q), sums)
+    return df.withColumn(out, total).withColumn(base, F.lit(expected))
+
+
 def tree_shap(df: DataFrame, model, id_cols: list[str], cols: list[str] = FEATURE_COLS,
               prefix: str = "phi_") -> DataFrame:
     """SHAP values of a tree ensemble for each row of ``df`` (``cols`` as
@@ -169,33 +231,10 @@ def tree_shap(df: DataFrame, model, id_cols: list[str], cols: list[str] = FEATUR
     """
     from linkrisk.operators.dataset import require_columns
     require_columns(df, list(id_cols) + list(cols))
-    spark = df.sparkSession
-    trees, weights = tree_table(model)
-    is_rf = type(model).__name__.startswith("RandomForest")
-    scale = [1.0 / len(trees)] * len(trees) if is_rf else weights
-    base = float(sum(s * expected_value(t) for s, t in zip(scale, trees)))
-    bc = spark.sparkContext.broadcast((trees, scale))
-    m = len(cols)
-
-    def run(it):
-        tr, sc = bc.value
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            x = pdf[cols].to_numpy(dtype=np.float64)
-            phi = np.zeros((len(pdf), m))
-            for t, s in zip(tr, sc):
-                phi += s * tree_shap_batch(x, t, m)
-            out = pdf[id_cols].copy()
-            for j, c in enumerate(cols):
-                out[prefix + c] = phi[:, j]
-            out["base"] = base
-            out["model_output"] = base + phi.sum(1)
-            yield out
-
-    id_schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in id_cols)
-    phi_schema = ", ".join(f"{prefix}{c} double" for c in cols)
-    return df.select(*id_cols, *cols).mapInPandas(run, f"{id_schema}, {phi_schema}, base double, model_output double")
+    out = with_tree_shap(df.select(*id_cols, *cols), model, cols, "_phi", "_base")
+    total = F.aggregate("_phi", F.lit(0.0), lambda a, b: a + b)
+    return out.select(*id_cols, *[F.col("_phi")[i].alias(prefix + c) for i, c in enumerate(cols)],
+                      F.col("_base").alias("base"), (F.col("_base") + total).alias("model_output"))
 
 
 # ------------------------------------------------------------------ reasons
@@ -205,15 +244,18 @@ def top_reasons(df: DataFrame, k: int = 5, cols: list[str] = FEATURE_COLS, prefi
     """E4 + H29: top-k features by |contribution| per row as
     array<struct<feature, text_en, contribution, direction>> (contribution
     rounded to 4); ties: higher feature index first."""
+    return df.withColumn(out, reasons_of([F.col(prefix + c) for c in cols], k, cols))
+
+
+def reasons_of(contributions: list[Column], k: int = 5, cols: list[str] = FEATURE_COLS) -> Column:
+    """The E4 array from one contribution column per feature."""
     from linkrisk.functions.features import round_even
-    items = [F.struct((-F.abs(F.col(prefix + c))).alias("neg_abs"), F.lit(-i).alias("neg_idx"),
-                      F.lit(c).alias("feature"), F.lit(SHAP_TEXT.get(c, c)).alias("text_en"),
-                      F.col(prefix + c).alias("c")) for i, c in enumerate(cols)]
+    items = [F.struct((-F.abs(v)).alias("neg_abs"), F.lit(-i).alias("neg_idx"), F.lit(c).alias("feature"),
+                      F.lit(SHAP_TEXT.get(c, c)).alias("text_en"), v.alias("c")) for i, (c, v) in enumerate(zip(cols, contributions))]
     top = F.slice(F.sort_array(F.array(*items)), 1, k)
-    shaped = F.transform(top, lambda s: F.struct(s["feature"].alias("feature"), s["text_en"].alias("text_en"),
-                                                 round_even(s["c"], 4).alias("contribution"),
-                                                 direction(s["c"]).alias("direction")))
-    return df.withColumn(out, shaped)
+    return F.transform(top, lambda s: F.struct(s["feature"].alias("feature"), s["text_en"].alias("text_en"),
+                                               round_even(s["c"], 4).alias("contribution"),
+                                               direction(s["c"]).alias("direction")))
 
 
 def bar_shares(reasons: str = "reasons") -> F.Column:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkrisk.constants import FN_COST, FP_COST
+from linkrisk.session import cut_lineage
 
 
 def _div0(a: Column, b: Column) -> Column:
@@ -114,9 +115,11 @@ def _prefix_sums_desc(g: DataFrame, buckets: int = 1024) -> DataFrame:
 
 
 def roc_points(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """One ROC point per distinct score (threshold = score, >=)."""
-    g = _prefix_sums_desc(_score_groups(df, label, score))
-    tot = df.agg(F.count_if(F.col(label) == 1).alias("P"), F.count_if(F.col(label) == 0).alias("N"))
+    """One ROC point per distinct score (threshold = score, >=). The input is read
+    once; what follows works on the stored groups."""
+    groups = cut_lineage(_score_groups(df, label, score))
+    g = _prefix_sums_desc(groups)
+    tot = groups.agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("P"), F.coalesce(F.sum("neg"), F.lit(0)).alias("N"))
     j = g.crossJoin(F.broadcast(tot))  # one row
     return j.select(F.col("score").alias("threshold"),
                     _div0(F.col("neg_above") + F.col("neg"), F.col("N")).alias("fpr"),
@@ -125,7 +128,7 @@ def roc_points(df: DataFrame, label: str = "label", score: str = "score") -> Dat
 
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """Area under the ROC curve (trapezoid = tie-corrected rank statistic)."""
-    g = _prefix_sums_desc(_score_groups(df, label, score))
+    g = _prefix_sums_desc(cut_lineage(_score_groups(df, label, score)))
     a = g.agg(F.sum(F.col("neg") * (F.col("pos_above") + F.col("pos") / 2.0)).alias("_s"),
               F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     return a.select(F.when((F.col("_p") == 0) | (F.col("_n") == 0), F.lit(None).cast("double"))
@@ -187,6 +190,6 @@ def error_samples(df: DataFrame, label: str = "label", pred: str = "pred", n: in
     return e.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
-def cv_summary(fold_scores: DataFrame, score: str = "f1") -> DataFrame:
-    """Mean and population std of per-fold scores."""
-    return fold_scores.agg(F.avg(score).alias("cv_mean"), F.stddev_pop(score).alias("cv_std"))
+def cv_summary(fold_scores: DataFrame, score: str = "f1", by: list[str] | None = None) -> DataFrame:
+    """Mean and population std of per-fold scores (per ``by``)."""
+    return fold_scores.groupBy(*(by or [])).agg(F.avg(score).alias("cv_mean"), F.stddev_pop(score).alias("cv_std"))

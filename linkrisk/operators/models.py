@@ -7,6 +7,8 @@ StandardScaler`` uses the sample one and maps constant columns to 0).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -117,24 +119,37 @@ def train_compare(train: DataFrame, test: DataFrame, label: str = "label", model
     return fitted, metrics
 
 
-def cross_validate(df: DataFrame, estimator, folds: DataFrame | None = None, k: int = 5,
-                   label: str = "label") -> DataFrame:
-    """Per-fold F1 on stratified folds (E2); summary via metrics.cv_summary.
-    ``estimator`` may be a function of the number of training rows."""
-    from linkrisk.operators.metrics import binary_metrics
+def out_of_fold_scores(df: DataFrame, families: Callable[[int], dict] = estimators, k: int = 5, label: str = "label",
+                       key: str = "url", parallelism: int = 4) -> DataFrame:
+    """Stored (key, fold, model, label, pred) of every row under the models that did not
+    see its fold (E2). Class weights and regularisation are those of a fold's training part.
+    ``families`` gives the estimators by name for a number of training rows; fits of different
+    folds and families run side by side."""
     from linkrisk.operators.split import stratified_folds
-    spark = df.sparkSession
     from linkrisk.session import cut_lineage
-    f = cut_lineage(folds if folds is not None else stratified_folds(df, label, k))
-    rows = []
+    f = cut_lineage(stratified_folds(df, label, k))
+    parts = []
     for i in range(k):
-        tr = with_class_weights(assemble(f.filter(F.col("fold") != i)), label)
-        te = assemble(f.filter(F.col("fold") == i))
-        # the regularisation depends on the rows of this fold's training part
-        m = (estimator(tr.count()) if callable(estimator) else estimator).fit(tr)
-        bm = binary_metrics(score(te, m, "p1", "pred"), label, "pred").first()
-        rows.append((i, float(bm["f1"])))
-    return spark.createDataFrame(rows, "fold int, f1 double")
+        train = cut_lineage(with_class_weights(assemble(f.filter(F.col("fold") != i)), label))
+        parts.append((i, train, families(train.count())))
+    jobs = [(i, train, name, est) for i, train, by_name in parts for name, est in by_name.items()]
+
+    def fit(job):
+        i, train, name, est = job
+        held = assemble(f.filter(F.col("fold") == i))
+        return score(held, est.fit(train), "p1", "pred").select(key, "fold", F.lit(name).alias("model"), label, "pred")
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        return cut_lineage(reduce(lambda a, b: a.unionByName(b), pool.map(fit, jobs)))
+
+
+def cross_validate(df: DataFrame, families: Callable[[int], dict] = estimators, k: int = 5, label: str = "label") -> DataFrame:
+    """F1 per (model, fold), from the stored out-of-fold predictions in one aggregate."""
+    s = out_of_fold_scores(df, families, k, label)
+    hit = lambda y, p: F.count_if((F.col(label) == y) & (F.col("pred") == p))
+    c = s.groupBy("model", "fold").agg(hit(1, 1).alias("tp"), hit(0, 1).alias("fp"), hit(1, 0).alias("fn"))
+    den = 2 * F.col("tp") + F.col("fp") + F.col("fn")
+    return c.select("model", "fold", F.when(den > 0, 2 * F.col("tp") / den).otherwise(0.0).alias("f1"))
 
 
 def importances(model, cols: list[str] = FEATURE_COLS, spark=None) -> DataFrame:

@@ -28,14 +28,22 @@ def clamp_limit(n: int | None, default: int = 50, lo: int = 1, hi: int = 500) ->
     return max(lo, min(hi, n))
 
 
+def rounded_scores(df: DataFrame) -> DataFrame:
+    """Scores as the log keeps them: rounded to 4."""
+    from linkrisk.functions.features import round_even
+    return df.withColumns({c: round_even(F.col(c), 4) for c in ("score", "raw_score", "rf_score", "other_score") if c in df.columns})
+
+
 def append_scans(df: DataFrame, path: str, mode: str = "append") -> None:
     """Append scan rows; scores rounded to 4, nested fields kept native."""
-    from linkrisk.functions.features import round_even
-    out = df
-    for c in ("score", "raw_score"):
-        if c in df.columns:
-            out = out.withColumn(c, round_even(F.col(c), 4))
-    out.write.mode(mode).partitionBy("verdict").parquet(path)
+    rounded_scores(df).write.mode(mode).partitionBy("verdict").parquet(path)
+
+
+def write_batch(df: DataFrame, path: str) -> None:
+    """A12 for one micro-batch (rows with ``batch``): a replayed batch replaces its own
+    partitions of the log."""
+    (rounded_scores(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("batch", "verdict").parquet(path))
 
 
 def replace_campaigns(campaigns: DataFrame, path: str) -> None:
@@ -106,6 +114,24 @@ def campaign_scans(campaigns: DataFrame, scans: DataFrame, first_n: int = 5) ->
                     F.greatest(n - first_n, F.lit(0)).alias("more"))
 
 
+def campaign_members(campaigns: DataFrame, scans: DataFrame) -> DataFrame:
+    """C1 in full: every scan of each given campaign (campaign, scan_id, created_at), newest
+    first within a campaign; a campaign without scans keeps one row of nulls. A range sort by
+    (campaign, scan id) splits a large campaign over many tasks."""
+    s = scans.select(F.col("campaign_id").alias("campaign"), "scan_id", F.col("scanned_at").alias("created_at"))
+    out = campaigns.select(F.col("name").alias("campaign")).join(s, "campaign", "left")
+    return out.orderBy("campaign", F.desc("scan_id"))
+
+
+def write_sorted_log(scans: DataFrame, path: str, partitions: int | None = None) -> None:
+    """A copy of the log for point lookups (B4) and campaign listings (C1): range-partitioned
+    and sorted by scan id, so files and row groups have disjoint id ranges, with a Parquet
+    Bloom filter on the campaign."""
+    args = [partitions] if partitions else []
+    (scans.repartitionByRange(*args, "scan_id").sortWithinPartitions("scan_id").write.mode("overwrite")
+     .option("parquet.bloom.filter.enabled#campaign_id", "true").parquet(path))
+
+
 def update_assignments(scans: DataFrame, assignments: DataFrame) -> DataFrame:
     """New campaign ids win over old ones, by scan id (a new table version)."""
     a = assignments.select("scan_id", F.col("campaign_id").alias("_new"))

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_HEX = 4  # 16**4 = 65,536 buckets
+TOP_N = 20_000  # largest sample that is taken as a top-N
 
 
 def hash_key(seed: int | str, *cols: str) -> Column:
@@ -142,7 +143,10 @@ def stratified_folds(df: DataFrame, label: str = "label", k: int = 5, seed: int
 
 
 def seeded_sample(df: DataFrame, n: int, seed: int = 42, key_cols: tuple[str, ...] = ("url",)) -> DataFrame:
-    """exactly min(n, count) rows, the first ones in hash order (deterministic)."""
+    """exactly min(n, count) rows, the first ones in hash order (deterministic). Up to
+    TOP_N rows are a top-N (each task keeps its own first n); more use the bucket offsets."""
+    if n <= TOP_N:
+        return df.withColumn("_k", hash_key(f"sample{seed}", *key_cols)).orderBy("_k").limit(n).drop("_k")
     d = df.withColumn("_g", F.lit(0))
     out = first_in_hash_order(d, hash_key(f"sample{seed}", *key_cols), F.lit(n), ["_g"], "_in")
     return out.filter("_in").drop("_in", "_g")

@@ -12,6 +12,7 @@ from linkrisk.operators import metrics as M
 from linkrisk.operators import split as S
 from linkrisk.plans import oracle_sql as O
 from linkrisk.plans.fixtures import scored_urls, url_corpus
+from linkrisk.session import cut_lineage
 
 # ------------------------------------------------------------------ dataset
 
@@ -49,6 +50,10 @@ def q_class_stats(spark, sf_dir):
     return D.class_stats(merged(spark, sf_dir))
 
 
+def q_dataset_totals(spark, sf_dir):
+    return D.dataset_totals(merged(spark, sf_dir))
+
+
 def q_length_histogram(spark, sf_dir):
     return D.length_histogram(merged(spark, sf_dir))
 
@@ -154,8 +159,8 @@ SQL_VALIDATE = O.with_ctes(O.URL_CORPUS) + """SELECT url_id, trim(url) AS url,
 
 def q_holdout_rows(spark, sf_dir):
     """Feature rows of the persisted split's test side (semi-join by url)."""
-    split = S.stratified_split(merged(spark, sf_dir))
-    f = merged_features(spark, sf_dir).select("url", "label", "url_length", "num_dots", "has_https")
+    split = cut_lineage(S.stratified_split(merged(spark, sf_dir)))  # the persisted split; features follow from its rows
+    f = with_url_features(split.select("url", "label")).select("url", "label", "url_length", "num_dots", "has_https")
     return S.holdout_rows(f, split)
 
 
@@ -328,6 +333,8 @@ def register(qs: dict, sql: dict) -> None:
     qs["class_stats"] = q_class_stats
     sql["class_stats"] = _msql("""SELECT label, count(*) AS n, count(*) / sum(count(*)) OVER () AS share,
  avg(length(url)) AS avg_url_length FROM merged GROUP BY label""")
+    qs["dataset_totals"] = q_dataset_totals
+    sql["dataset_totals"] = _msql("SELECT count(*) AS n, avg(length(url)) AS avg_url_length FROM merged")
     qs["length_histogram"] = q_length_histogram
     sql["length_histogram"] = SQL_LENGTH_HISTOGRAM
     qs["top_tlds"] = q_top_tlds

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkrisk.constants import ALL_FEATURE_COLS, BRAND_NAMES, EXTRA_FEATURE_COLS, FEATURE_EXPLANATIONS, FLAG_RULES
-from linkrisk.functions.features import round_even, feature_report, flagged_features, with_all_features, with_url_features
-from linkrisk.functions.rules import blend, external_prob, verdict, with_rule_score
+from linkrisk.constants import ALL_FEATURE_COLS, BASE_FEATURE_COLS, BRAND_NAMES, EXTRA_FEATURE_COLS, FEATURE_EXPLANATIONS, FLAG_RULES
+from linkrisk.functions.features import round_even, feature_report, flagged_features, report_flags, with_all_features, with_url_features
+from linkrisk.functions.rules import blend, external_prob, result_rows, verdict, with_rule_score
 from linkrisk.functions.urlparts import with_url_parts
 from linkrisk.plans import oracle_sql as O
-from linkrisk.plans.fixtures import page_urls, scored_urls, url_corpus
+from linkrisk.operators.dataset import validate_urls
+from linkrisk.plans.fixtures import hard_urls, page_urls, scored_urls, url_corpus
 
 ID = ["url_id", "url"]
 
@@ -96,6 +97,20 @@ def sql_flagged_features() -> str:
     return O.with_ctes(*ctes) + "\nUNION ALL\n".join(rows)
 
 
+def q_report_flags(spark, sf_dir):
+    return report_flags(page_urls(spark, sf_dir), ["page_id", "url"])
+
+
+def sql_report_flags() -> str:
+    ctes, last = O.feature_ctes("pages", ["page_id", "url"], extras=False)
+    risk = {"has_ip": "<> 0", "num_suspicious_words": ">= 1", "has_at_in_url": "<> 0", "double_slash": "<> 0", "num_subdomains": ">= 3",
+            "num_hyphens": ">= 2", "url_length": "> 75"}
+    state = lambda c: f"CASE WHEN {c} {risk[c]} THEN 'risk' ELSE 'neutral' END" if c in risk else (
+        "CASE WHEN has_https <> 0 THEN 'good' ELSE 'neutral' END" if c == "has_https" else "'neutral'")
+    return O.with_ctes(*ctes) + "\nUNION ALL\n".join(
+        f"SELECT page_id, url, {O._q(c)} AS feature, CAST({c} AS DOUBLE) AS value, {state(c)} AS state FROM {last}" for c in BASE_FEATURE_COLS)
+
+
 # ---------------------------------------------------------------- scoring
 
 def _scored_features(spark, sf_dir) -> DataFrame:
@@ -201,6 +216,25 @@ def sql_result_rows() -> str:
  {O.round_even_sql('(score * 100)', 1)} AS percent FROM re"""
 
 
+def q_blended_result_rows(spark, sf_dir):
+    """H30 -> H32-H34: both scores blended, rules on top, and the result row with every score."""
+    c = url_corpus(spark, sf_dir)
+    c = c.select("url_id", "url", (F.lit(0.5) * F.col("label") + F.lit(0.5) * F.col("u")).alias("rf_score"),
+                 F.when(F.col("url_id") % 3 == 0, F.lit(None).cast("double")).otherwise(F.col("u")).alias("other_score"))
+    r = result_rows(with_rule_score(with_url_features(blend(c))))
+    return r.select("url_id", "url", verdict(F.col("score")).alias("verdict"), "score_r", "raw_r", "rf_r", "percent")
+
+
+def sql_blended_result_rows() -> str:
+    bl = """bl AS (SELECT url_id, url, rf AS rf_score,
+ CASE WHEN other IS NULL THEN rf ELSE 0.6E0 * rf + 0.4E0 * other END AS raw_score
+ FROM (SELECT url_id, url, 0.5E0 * label + 0.5E0 * u AS rf, CASE WHEN url_id % 3 = 0 THEN NULL ELSE u END AS other FROM url_corpus) t)"""
+    ctes, last = O.feature_ctes("bl", ["url_id", "url", "rf_score", "raw_score"], extras=False)
+    return O.with_ctes(O.URL_CORPUS, bl, *ctes, _rule_sql_body(last)) + f"""SELECT url_id, url, verdict,
+ {O.round_even_sql('score', 4)} AS score_r, {O.round_even_sql('raw_score', 4)} AS raw_r, {O.round_even_sql('rf_score', 4)} AS rf_r,
+ {O.round_even_sql('(score * 100)', 1)} AS percent FROM re"""
+
+
 def q_rule_scores_pages(spark, sf_dir):
     """Labelled page URLs scored with their label as the model score."""
     from linkrisk.plans.fixtures import labelled_pages
@@ -215,7 +249,35 @@ def sql_rule_scores_pages() -> str:
     return O.with_ctes(O.LABELLED_PAGES, lp, *ctes, _rule_sql_body(last)) + "SELECT page_id, url, label, score, verdict FROM re"
 
 
+HARD_COLS = [*ALL_FEATURE_COLS, "parse_error"]
+
+
+def q_hard_url_features(spark, sf_dir):
+    """H1-H25 (zeros where a URL cannot be split) on missing, blank, bracketed, bad-port,
+    non-ASCII and other hard URLs."""
+    return with_all_features(hard_urls(spark, sf_dir)).select(*ID, *HARD_COLS)
+
+
+def sql_hard_url_features() -> str:
+    ctes, last = O.feature_ctes("hard_urls", ID, extras=True)
+    return O.with_ctes(O.hard_urls_cte(), *ctes) + f"SELECT {', '.join(ID + HARD_COLS)} FROM {last}"
+
+
+def q_hard_url_checks(spark, sf_dir):
+    """B6 on URLs that are missing or blank: accepted rows trimmed, rejected ones with a reason."""
+    ok, bad = validate_urls(hard_urls(spark, sf_dir))
+    return ok.withColumn("reason", F.lit(None).cast("string")).unionByName(bad)
+
+
+SQL_HARD_URL_CHECKS = """SELECT url_id, trim(url) AS url, CASE WHEN url IS NULL OR trim(url) = '' THEN 'No URL provided' END AS reason
+FROM hard_urls"""
+
+
 def register(qs: dict, sql: dict) -> None:
+    qs["hard_url_features"] = q_hard_url_features
+    sql["hard_url_features"] = sql_hard_url_features()
+    qs["hard_url_checks"] = q_hard_url_checks
+    sql["hard_url_checks"] = O.with_ctes(O.hard_urls_cte()) + SQL_HARD_URL_CHECKS
     for name, cols in FEATURE_SUBSETS.items():
         qs[name] = _feature_query(cols, False)
         sql[name] = _feature_sql(cols, False)
@@ -240,6 +302,10 @@ def register(qs: dict, sql: dict) -> None:
     sql["rule_alerts"] = sql_rule_alerts()
     qs["verdicts"] = q_verdicts
     sql["verdicts"] = sql_verdicts()
+    qs["blended_result_rows"] = q_blended_result_rows
+    sql["blended_result_rows"] = sql_blended_result_rows()
+    qs["report_flags"] = q_report_flags
+    sql["report_flags"] = sql_report_flags()
     qs["result_rows"] = q_result_rows
     sql["result_rows"] = sql_result_rows()
     qs["page_verdicts"] = q_rule_scores_pages

@@ -84,3 +84,24 @@ def labelled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread_scan(read_table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+def hard_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One URL per ``part`` row in shapes that are hard to split: missing, blank, bracketed,
+    bad ports, other schemes, user info, parameters, non-ASCII text, trailing dots."""
+    p = read_table(spark, sf_dir, "part").select("p_partkey")
+    k, shape = _s("p_partkey"), F.col("p_partkey") % 18
+    url = F.when(shape == 0, F.lit(None).cast("string"))
+    for i, (before, after) in enumerate(HARD_SHAPES, 1):
+        url = url.when(shape == i, F.concat(F.lit(before), k, F.lit(after)) if after is not None else F.lit(before))
+    return spread_scan(p).select(F.col("p_partkey").alias("url_id"), url.otherwise(F.concat(F.lit("http:///"), k)).alias("url"))
+
+
+#: Text before and after the key of each shape of ``hard_urls`` (None: no key).
+HARD_SHAPES = [
+    ("", None), ("   ", None), ("http://[::1]:80", "/a//b"), ("http://[fe80::1%25eth", "]/x"), ("http://[1:2:3", "/x"),
+    ("http://host.tk:abc", "/login"), ("http://host.tk:99999/", ""), ("http://münchen", ".de/straße?q=ü&r"),
+    ("HTTPS://User:Pw@ExAmple.CO.UK:443/A;b/", ";d?x=1&y=2#frag"), ("//paypal.com/", "/x"), ("javascript:alert(", ")"),
+    ("http://1.2.3.4:0/", "/"), ("http://secure-paypal.a.b", ".gov.uk./x"), ("ftp://google.com/", ";type=a"),
+    ("http://x٣", ".top/٤٥"), ("https://a@b@paypa1.com/", "%20%zz"), ("http://shop.kobe", ".jp:/p"),
+]

@@ -16,11 +16,12 @@ from linkrisk.functions.features import round_even
 from linkrisk.functions.rules import verdict, with_rule_score
 from linkrisk.operators import campaigns as C
 from linkrisk.operators import explain as X
+from linkrisk.operators import kmeans as K
 from linkrisk.operators import metrics as M
 from linkrisk.operators import models as Mo
 from linkrisk.operators import split as S
 from linkrisk.plans import oracle_sql as O
-from linkrisk.plans.dataset_queries import merged_features
+from linkrisk.plans.dataset_queries import SQL_STRATIFIED_SPLIT, merged_features
 from linkrisk.session import cut_lineage, read_table
 
 _MEMO: dict = {}
@@ -64,18 +65,18 @@ def q_best_model(spark, sf_dir):
     return M.select_best(trained(spark, sf_dir)[1], "ordinal").select("model", "f1", "fpr", "selection_score")
 
 
-def _rf_test_scores(spark, sf_dir) -> DataFrame:
+def _test_scores(spark, sf_dir, name: str) -> DataFrame:
     fitted, _ = trained(spark, sf_dir)
     p = prepared(spark, sf_dir)
     raw = p["features"].filter("is_test").select("url", *[F.col(c).alias("raw_" + c) for c in FEATURE_COLS])
-    s = Mo.score(Mo.assemble(p["test"]), fitted["random_forest"], "rf_score", "pred")
+    s = Mo.score(Mo.assemble(p["test"]), fitted[name], "rf_score", "pred")
     return s.join(raw, "url")
 
 
 def q_rf_verdicts(spark, sf_dir):
     """I5 -> H32 -> H33: RF probability + rule boosts -> verdict counts (test set)."""
     from linkrisk.functions.features import with_url_features
-    s = _rf_test_scores(spark, sf_dir).select("url", "label", F.col("rf_score").alias("raw_score"))
+    s = _test_scores(spark, sf_dir, "random_forest").select("url", "label", F.col("rf_score").alias("raw_score"))
     r = with_rule_score(with_url_features(s))
     return r.groupBy(verdict(F.col("score")).alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -86,22 +87,18 @@ def q_feature_importance(spark, sf_dir):
 
 
 def q_cv_scores(spark, sf_dir):
-    """5-fold CV F1 of the linear model on the training split."""
-    p = prepared(spark, sf_dir)
-    folds = Mo.cross_validate(p["train"], lambda n: Mo.estimators(n)["logistic_regression"])
-    summ = M.cv_summary(folds)
-    return folds.crossJoin(F.broadcast(summ))
-
-
-def _shap_sample(spark, sf_dir, n: int = 500) -> DataFrame:
-    return S.seeded_sample(prepared(spark, sf_dir)["test"], n, key_cols=("url",))
+    """5-fold CV F1 of the three model families on the training split, with each family's
+    mean and deviation."""
+    folds = cut_lineage(Mo.cross_validate(prepared(spark, sf_dir)["train"]))
+    return folds.join(F.broadcast(M.cv_summary(folds, by=["model"])), "model")  # one row per model
 
 
 def tree_shap_values(spark, sf_dir) -> DataFrame:
+    """The forest's SHAP values of every test row, stored once."""
     key = _memo_key("shap", spark, sf_dir)
     if key not in _MEMO:
         fitted, _ = trained(spark, sf_dir)
-        _MEMO[key] = X.tree_shap(_shap_sample(spark, sf_dir), fitted["random_forest"], ["url", "label"]).cache()
+        _MEMO[key] = cut_lineage(X.tree_shap(prepared(spark, sf_dir)["test"], fitted["random_forest"], ["url", "label"]))
     return _MEMO[key]
 
 
@@ -109,6 +106,25 @@ def q_tree_shap(spark, sf_dir):
     return tree_shap_values(spark, sf_dir)
 
 
+def q_shap_invariant(spark, sf_dir):
+    """I7 + I8: per test row and tree model, whether the contributions and the base sum to the
+    model's own output (forest: probability; boosting: margin)."""
+    from pyspark.ml.functions import vector_to_array
+    fitted, _ = trained(spark, sf_dir)
+    test = prepared(spark, sf_dir)["test"]
+    out = []
+    for name, given, shap in [("random_forest", "probability", tree_shap_values(spark, sf_dir)),
+                              ("gradient_boosting", "rawPrediction", X.tree_shap(test, fitted["gradient_boosting"], ["url"]))]:
+        own = fitted[name].transform(Mo.assemble(test)).select("url", vector_to_array(given)[1].alias("own"))
+        out.append(shap.join(own, "url").select("url", F.lit(name).alias("model"),
+                                                (F.abs(F.col("own") - F.col("model_output")) < 1e-9).alias("sums_to_output")))
+    return out[0].unionByName(out[1])
+
+
+SQL_SHAP_INVARIANT = SQL_STRATIFIED_SPLIT.replace("SELECT url, label, rn <=", "SELECT url, model, TRUE AS sums_to_output FROM (SELECT url, label, rn <=", 1) + """
+) s, (VALUES ('random_forest'), ('gradient_boosting')) m(model) WHERE is_test"""
+
+
 def q_shap_importance(spark, sf_dir):
     return X.global_importance(tree_shap_values(spark, sf_dir))
 
@@ -120,13 +136,25 @@ def q_top_reasons(spark, sf_dir):
         "url", F.col("z.rank").alias("rank"), "z.r.feature", "z.r.text_en", "z.r.contribution", "z.r.direction")
 
 
+def best_model(spark, sf_dir) -> str:
+    return M.select_best(trained(spark, sf_dir)[1], "ordinal").first()["model"]
+
+
+def explained(spark, sf_dir, name: str, rows: DataFrame) -> DataFrame:
+    """SHAP values of ``rows`` (url, scaled features) under the named model."""
+    model = trained(spark, sf_dir)[0][name]
+    if hasattr(model, "coefficients"):
+        mean = X.background_mean(prepared(spark, sf_dir)["scaled"])
+        return X.linear_shap(rows.select("url", *FEATURE_COLS), model.coefficients.toArray().tolist(), mean)
+    return X.tree_shap(rows.select("url", *FEATURE_COLS), model, ["url"])
+
+
 def q_error_table(spark, sf_dir):
-    """I15 + E3: first 20 FP / FN of the random forest with their top-2 SHAP reasons."""
-    fitted, _ = trained(spark, sf_dir)
-    s = _rf_test_scores(spark, sf_dir)
+    """I15 + E3: first 20 FP / FN of the selected model with their top-2 SHAP reasons."""
+    name = best_model(spark, sf_dir)
+    s = _test_scores(spark, sf_dir, name)
     e = M.error_samples(s, "label", "pred", 20, ["url"])
-    sh = X.tree_shap(e.select("url", *FEATURE_COLS), fitted["random_forest"], ["url"])
-    r = X.error_reasons(sh)
+    r = X.error_reasons(explained(spark, sf_dir, name, e))
     return e.select("error_type", "url", F.col("label").alias("true_label"), F.col("pred").alias("pred_label"),
                     round_even(F.col("rf_score"), 4).alias("score"),
                     *[F.col("raw_" + c).alias(c) for c in FEATURE_COLS]).join(
@@ -160,7 +188,7 @@ def q_linear_top_reasons(spark, sf_dir):
 def q_evaluation_report(spark, sf_dir):
     """I16: the selected model's metrics, cost-optimal threshold and error totals."""
     fitted, metrics = trained(spark, sf_dir)
-    best = M.select_best(metrics, "ordinal").first()["model"]
+    best = best_model(spark, sf_dir)
     s = Mo.score(Mo.assemble(prepared(spark, sf_dir)["test"]), fitted[best], "p1", "pred")
     cost = M.cost_threshold(M.threshold_sweep(s, "label", "p1")).first()
     n = metrics.filter(F.col("model") == best).first()
@@ -170,24 +198,21 @@ def q_evaluation_report(spark, sf_dir):
 
 # ------------------------------------------------------------------ campaigns
 
-def _phishing_points(spark, sf_dir) -> DataFrame:
-    """Phishing rows of the feature matrix, scaled by a scaler fit on them."""
-    from linkrisk.operators.dataset import require_columns, require_rows
-    f = prepared(spark, sf_dir)["features"].filter(F.col("label") == 1)
-    require_columns(f, FEATURE_COLS)
-    require_rows(f, 2, "phishing rows")  # B9: clustering needs >= 2 points
-    sc = Mo.fit_scaler(f)
-    return C.as_array(Mo.scale_columns(f.select("url", *FEATURE_COLS), sc), FEATURE_COLS)
-
-
 def _campaign_fit(spark, sf_dir):
-    """One fit and one numbering, shared by every campaign query and the stream."""
+    """One fit and one numbering, shared by every campaign query and the stream: all
+    candidate k and seeds in the same scans over the phishing rows of the feature matrix,
+    scaled by a scaler fit on them."""
+    from linkrisk.operators.dataset import require_columns, require_rows
     key = _memo_key("campaign", spark, sf_dir)
     if key not in _MEMO:
-        pts = cut_lineage(_phishing_points(spark, sf_dir))
-        k, scores = C.choose_k(pts, C.offline_candidates())
-        cents = C.numbered_centroids(pts, C.fit_kmeans(pts, k))
-        _MEMO[key] = {"points": pts, "k": k, "scores": scores, "centroids": cents,
+        f = prepared(spark, sf_dir)["features"].filter(F.col("label") == 1)
+        require_columns(f, FEATURE_COLS)
+        require_rows(f, 2, "phishing rows")  # B9: clustering needs >= 2 points
+        sc = cut_lineage(Mo.fit_scaler(f))
+        pts = cut_lineage(C.as_array(Mo.scale_columns(f.select("url", *FEATURE_COLS), sc), FEATURE_COLS))
+        k, scores, fit = K.choose_k(pts, C.offline_candidates())
+        cents = K.by_size(fit)
+        _MEMO[key] = {"points": pts, "k": k, "scores": scores, "centroids": cents, "scaler": sc,
                       "assigned": C.assign_nearest(pts, cents)}
     return _MEMO[key]
 
@@ -305,6 +330,7 @@ def register(qs: dict, sql: dict) -> None:
     ]:
         qs[name] = fn
     for name, fn, s in [
+        ("shap_invariant", q_shap_invariant, SQL_SHAP_INVARIANT),
         ("nearest_centroid", q_nearest_centroid, SQL_NEAREST),
         ("campaign_sizes", q_campaign_sizes, SQL_CAMPAIGN_SIZES),
         ("radius_neighbours", q_radius_neighbours, SQL_RADIUS),

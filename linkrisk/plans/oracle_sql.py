@@ -41,6 +41,14 @@ SELECT event_id AS scan_id, ts AS scanned_at, user_id, least(value / 1E2, 1E0) A
  CASE WHEN value >= 45 THEN concat('campaign_', lpad(CAST(user_id % 7 AS VARCHAR), 3, '0')) END AS campaign_id,
  props AS features_json FROM events)"""
 
+def hard_urls_cte() -> str:
+    from linkrisk.plans.fixtures import HARD_SHAPES
+    cases = " ".join(f"WHEN {i} THEN {_q(a)}" + (f" || CAST(p_partkey AS VARCHAR) || {_q(b)}" if b is not None else "")
+                     for i, (a, b) in enumerate(HARD_SHAPES, 1))
+    return f"""hard_urls AS (SELECT p_partkey AS url_id, CASE p_partkey % 18 WHEN 0 THEN NULL {cases}
+ ELSE 'http:///' || CAST(p_partkey AS VARCHAR) END AS url FROM part)"""
+
+
 LABELLED_PAGES = """labelled_pages AS (
 SELECT p.page_id, p.url, l.toxic AS label FROM pages p JOIN labels l ON p.page_id = l.doc_id)"""
 
@@ -138,9 +146,12 @@ def feature_ctes(src: str, id_cols: list[str], extras: bool = True) -> tuple[lis
     ctes.append(f"""fa AS (SELECT *, {base} AS f_base, {path} || {q} AS f_pq FROM {last})""")
     stem = "split_part(f_base, '-', 1)"
     stem_ok = f"(contains(f_base, '-') AND {stem} <> '')"
-    bmin = "least(" + ", ".join(f"levenshtein(f_base, {_q(b)})" for b in BRAND_NAMES) + ")"
-    smin = "least(" + ", ".join(f"levenshtein({stem}, {_q(b)})" for b in BRAND_NAMES) + ")"
-    ctes.append(f"""fb AS (SELECT *, {bmin} AS f_bmin, CASE WHEN {stem_ok} THEN {smin} END AS f_smin FROM fa)""")
+    # DuckDB's levenshtein counts bytes: one ASCII character stands for any other one
+    one = lambda x: f"regexp_replace({x}, '[^\\x00-\\x7F]', '~', 'g')"
+    ctes.append(f"fl AS (SELECT *, {one('f_base')} AS f_lbase, {one(stem)} AS f_lstem FROM fa)")
+    bmin = "least(" + ", ".join(f"levenshtein(f_lbase, {_q(b)})" for b in BRAND_NAMES) + ")"
+    smin = "least(" + ", ".join(f"levenshtein(f_lstem, {_q(b)})" for b in BRAND_NAMES) + ")"
+    ctes.append(f"""fb AS (SELECT *, {bmin} AS f_bmin, CASE WHEN {stem_ok} THEN {smin} END AS f_smin FROM fl)""")
     min_lev = "(CASE WHEN f_base = '' THEN 99 ELSE least(f_bmin, f_smin) END)"
     sub = f"regexp_extract({h}, '(?s)^(.*)\\.[^.]*\\.[^.]*$', 1)"
     last_seg = f"regexp_extract({path}, '(?s)([^/]+)/*$', 1)"

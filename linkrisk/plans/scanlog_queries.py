@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from linkrisk.functions.rules import metric_text
 from linkrisk.operators import scanlog as L
 from linkrisk.plans import oracle_sql as O
 from linkrisk.plans.fixtures import scan_log
+from linkrisk.session import ensure_checkpoint_dir
 
 TS = "yyyy-MM-dd HH:mm:ss"
 DTS = "%Y-%m-%d %H:%M:%S"
@@ -90,6 +94,49 @@ LEFT JOIN (SELECT name, string_agg(CAST(scan_id AS VARCHAR), ',' ORDER BY scan_i
    FROM scan_log WHERE campaign_id IS NOT NULL) t WHERE rn <= 5 GROUP BY name) f ON f.name = c.name""")
 
 
+def q_campaign_members(spark, sf_dir):
+    m = L.campaign_members(_campaign_names(spark, sf_dir), scan_log(spark, sf_dir))
+    return m.select("campaign", "scan_id", F.date_format("created_at", TS).alias("created_at"))
+
+
+SQL_CAMPAIGN_MEMBERS = _ssql(f"""SELECT c.name AS campaign, s.scan_id, strftime(s.scanned_at, '{DTS}') AS created_at
+FROM (SELECT DISTINCT concat('campaign_', lpad(CAST(user_id % 9 AS VARCHAR), 3, '0')) AS name FROM scan_log) c
+LEFT JOIN scan_log s ON s.campaign_id = c.name""")
+
+
+def q_sorted_lookup(spark, sf_dir):
+    """B4 on the sorted copy of the log: one scan in a thousand by id, through the reader."""
+    path = os.path.join(ensure_checkpoint_dir(spark), f"sorted-log-{uuid.uuid4().hex}")
+    scans = scan_log(spark, sf_dir)
+    L.write_sorted_log(scans, path)
+    ids = scans.filter(F.col("scan_id") % 1000 == 0).select("scan_id")
+    log = spark.read.parquet(path)
+    return log.join(ids, "scan_id").select("scan_id", "user_id", "verdict", "campaign_id")
+
+
+SQL_SORTED_LOOKUP = _ssql("SELECT scan_id, user_id, verdict, campaign_id FROM scan_log WHERE scan_id % 1000 = 0")
+
+
+def broken_payloads(spark, sf_dir):
+    """The scan log with a cut, an empty, a null or a non-JSON payload in four scans of seven."""
+    s = scan_log(spark, sf_dir)
+    k, text = F.col("scan_id") % 7, F.col("features_json")
+    return s.withColumn("features_json", F.when(k == 0, F.expr("left(features_json, length(features_json) - 1)")).when(k == 1, "")
+                        .when(k == 2, F.lit(None)).when(k == 3, "not json").otherwise(text))
+
+
+def q_broken_json_features(spark, sf_dir):
+    """H35 + B5 on payloads that are partly unreadable."""
+    p = L.phishing_scans_with_features(broken_payloads(spark, sf_dir))
+    return p.select("scan_id", F.col("features")["k"].alias("k"), F.size("features").alias("n_features"))
+
+
+SQL_BROKEN_JSON = _ssql("""SELECT scan_id, TRY_CAST(json_extract(j, '$.k') AS DOUBLE) AS k, CAST(len(json_keys(j)) AS INTEGER) AS n_features
+FROM (SELECT scan_id, verdict, CASE scan_id % 7 WHEN 0 THEN left(features_json, length(features_json) - 1) WHEN 1 THEN ''
+   WHEN 2 THEN NULL WHEN 3 THEN 'not json' ELSE features_json END AS j FROM scan_log) t
+WHERE verdict IN ('Dangerous', 'Suspicious') AND CASE WHEN json_valid(j) THEN len(json_keys(j)) > 0 ELSE FALSE END""")
+
+
 def q_assign_update(spark, sf_dir):
     s = scan_log(spark, sf_dir)
     a = s.filter(F.col("verdict") == "Dangerous").select(
@@ -141,6 +188,9 @@ def register(qs: dict, sql: dict) -> None:
         ("phishing_scan_count", q_phishing_scan_count, SQL_PHISHING_COUNT),
         ("json_features", q_json_features, SQL_JSON_FEATURES),
         ("campaign_scans", q_campaign_scans, SQL_CAMPAIGN_SCANS),
+        ("campaign_members", q_campaign_members, SQL_CAMPAIGN_MEMBERS),
+        ("sorted_lookup", q_sorted_lookup, SQL_SORTED_LOOKUP),
+        ("broken_json_features", q_broken_json_features, SQL_BROKEN_JSON),
         ("assign_update", q_assign_update, SQL_ASSIGN_UPDATE),
         ("campaign_cards", q_campaign_cards, SQL_CAMPAIGN_CARDS),
         ("verdict_metric_text", q_verdict_metric_text, SQL_VERDICT_METRIC_TEXT),

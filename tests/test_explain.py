@@ -46,6 +46,60 @@ def test_tree_shap_equals_brute_force(x):
     assert got.sum() + expected_value(TREE) == pytest.approx(_cond_exp(TREE, x[0], {0, 1, 2}))
 
 
+def _random_tree(rng, depth, m):
+    """A random tree whose paths use features again; covers add up."""
+    t = {k: [] for k in ("left", "right", "feat", "thr", "value", "cover")}
+
+    def grow(level, cover):
+        j = len(t["left"])
+        leaf = level == 0 or rng.random() < 0.15
+        for k, v in (("left", -1), ("right", -1), ("feat", -1 if leaf else int(rng.integers(m))), ("thr", float(rng.normal())),
+                     ("value", float(rng.normal())), ("cover", cover)):
+            t[k].append(v)
+        if not leaf:
+            part = float(rng.uniform(0.1, 0.9)) * cover
+            t["left"][j] = grow(level - 1, part)
+            t["right"][j] = grow(level - 1, cover - part)
+        return j
+
+    grow(depth, 100.0)
+    return {k: np.array(v) for k, v in t.items()}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_leaf_tables_equal_brute_force_on_random_trees(seed):
+    rng = np.random.default_rng(seed)
+    tree = _random_tree(rng, 6, 5)
+    x = rng.normal(size=(12, 5)).round(1)
+    x[3] = x[5]
+    x[7, 2] = np.nan  # a missing value fails every condition, so it goes right
+    got = tree_shap_batch(x, tree, 5)
+    for row, phi in zip(x, got):
+        assert np.allclose(phi, _brute(tree, row, 5), atol=1e-12)
+
+
+def test_single_leaf_tree():
+    tree = {k: np.array([v]) for k, v in (("left", -1), ("right", -1), ("feat", -1), ("thr", 0.0), ("value", 0.7), ("cover", 3.0))}
+    assert (tree_shap_batch(np.zeros((2, 3)), tree, 3) == 0).all() and expected_value(tree) == pytest.approx(0.7)
+
+
+def test_model_in_several_parts(spark, monkeypatch):
+    """A model split into parts gives the same contributions."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    from linkrisk.operators import explain as X
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, float(a), float(b), int(a > b)) for i, (a, b) in enumerate(rng.random((200, 2)))],
+                               "id int, a double, b double, label int")
+    m = RandomForestClassifier(numTrees=7, maxDepth=4, seed=1).fit(VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df))
+    whole = {r["id"]: (r["phi_a"], r["phi_b"]) for r in X.tree_shap(df, m, ["id"], ["a", "b"]).collect()}
+    monkeypatch.setattr(X, "PART_CELLS", 20)
+    assert len(X.shap_parts(m)[0]) > 2
+    for r in X.tree_shap(df, m, ["id"], ["a", "b"]).collect():
+        assert (r["phi_a"], r["phi_b"]) == pytest.approx(whole[r["id"]], abs=1e-12)
+
+
 def test_forest_and_boosting_invariants(spark):
     from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler

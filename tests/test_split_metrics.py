@@ -138,3 +138,27 @@ def test_guards(spark):
     with pytest.raises(ValueError):
         require_rows(df, 2, "phishing rows")
     assert require_rows(df, 1) == 1
+
+
+def test_cross_validation_covers_every_family_and_row(spark):
+    """One score per (model, fold), recomputed here from the stored out-of-fold predictions;
+    every row is predicted once per family by a model that did not see its fold."""
+    import numpy as np
+
+    from linkrisk.constants import FEATURE_COLS
+    from linkrisk.operators import models as Mo
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(240):
+        x = rng.normal(size=len(FEATURE_COLS))
+        rows.append((f"u{i}", int(x[0] + x[1] > 0.5), *[float(v) for v in x]))
+    df = spark.createDataFrame(rows, "url string, label int, " + ", ".join(f"{c} double" for c in FEATURE_COLS))
+    few = lambda n: {k: v for k, v in Mo.estimators(n, fast=True).items() if k != "gradient_boosting"}
+    s = Mo.out_of_fold_scores(df, few, k=3).toPandas()
+    assert len(s) == 2 * 240 and s.groupby("model").url.nunique().tolist() == [240, 240]
+    got = {(r["model"], r["fold"]): r["f1"] for r in Mo.cross_validate(df, few, k=3).collect()}
+    assert len(got) == 6
+    for (m, f), g in s.groupby(["model", "fold"]):
+        tp, fp, fn = ((g.label == y) & (g.pred == p) for y, p in ((1, 1), (0, 1), (1, 0)))
+        assert got[m, f] == 2 * tp.sum() / (2 * tp.sum() + fp.sum() + fn.sum())
+    assert min(got.values()) > 0.6
