@@ -157,16 +157,69 @@ def utf8(column) -> list:
     return pc.cast(column, pa.large_binary()).to_pylist()
 
 
-def batches(batch, rows: int = 1000):
-    """Slices of an Arrow record batch (bounds memory per step)."""
-    for i in range(0, batch.num_rows, rows):
-        yield batch.slice(i, rows)
+#: Bytes of text in a slice of a record batch (a longer text is a slice of its own).
+SLICE_BYTES = 8 << 20
+_KEPT: dict = {}
+_KEEPER = [""]
+
+
+def _release(owner: str) -> None:
+    """Drop what another operator has left in this (reused) worker process, and give its
+    memory back to the system."""
+    if _KEEPER[0] == owner:
+        return
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+    _KEPT.clear()
+    _KEEPER[0] = owner
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the GNU C library
+        pass
+
+
+def kept(owner: str, key, make, last: bool = False):
+    """``make()``, kept in the worker process for later tasks until another operator runs
+    there; with ``last``, only the last key's is."""
+    _release(owner)
+    if key not in _KEPT:
+        if last:
+            _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def batches(batch, owner: str, rows: int = 1000):
+    """Slices of an Arrow record batch of at most so many rows and SLICE_BYTES of text (or one
+    row). ``owner`` names the operator: what others keep in this process goes first."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    _release(owner)
+    size = np.zeros(batch.num_rows, np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+            size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto, at = np.cumsum(size), 0
+    while at < batch.num_rows:
+        before = int(upto[at - 1]) if at else 0
+        end = min(at + rows, max(at + 1, int(np.searchsorted(upto, before + SLICE_BYTES, "right"))))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def name_of(base: str, taken) -> str:
-    """``base``, with underscores added until it clashes with no given column."""
-    while base in taken:
+    """``base``, with underscores added until it clashes with no given column (Spark
+    does not tell upper and lower case in names apart)."""
+    lower = {t.lower() for t in taken}
+    while base.lower() in lower:
         base += "_"
     return base
 
 
+def only(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The named columns, whatever characters their names hold."""
+    return df.select(*[F.col("`" + c.replace("`", "``") + "`") for c in columns])

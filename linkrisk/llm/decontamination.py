@@ -26,12 +26,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkrisk.llm.base import batches
+from linkrisk.llm.base import batches, kept
 
 RATE, MIN_CHARS = 0.05, 25
 #: Characters of items whose automaton one task holds.
 BLOCK_CHARS = 4_000_000
-_MATCHERS: dict[int, "Matcher"] = {}
 
 
 def normal(text: str) -> str:
@@ -122,7 +121,7 @@ def find_items(docs: DataFrame, items: DataFrame, rate: float = RATE, min_chars:
             import pyarrow as pa
             matcher = matcher_of(texts, rate)
             for batch in it:
-                for b in batches(batch):
+                for b in batches(batch, "decontamination"):
                     found = [(r, n, d, end) for r, text in enumerate(b.column(1).to_pylist()) if text
                              for n, (d, end) in matcher.matches(normal(text)).items()]
                     if found:
@@ -150,10 +149,7 @@ def item_blocks(tests: DataFrame, min_chars: int, block_chars: int) -> Iterator[
 def matcher_of(texts: list[str], rate: float) -> Matcher:
     """The matcher of a block's texts; a worker keeps the last one."""
     key = hash((tuple(texts), rate))
-    if key not in _MATCHERS:
-        _MATCHERS.clear()
-        _MATCHERS[key] = Matcher(texts, rate)
-    return _MATCHERS[key]
+    return kept("decontamination", key, lambda: Matcher(texts, rate), last=True)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS,
@@ -168,7 +164,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, rate: float = RATE, min_cha
             import pyarrow as pa
             matcher = matcher_of(texts, rate)
             for batch in it:
-                for b in batches(batch):
+                for b in batches(batch, "decontamination"):
                     clean = [not (t and matcher.matches(normal(t))) for t in b.column(at).to_pylist()]
                     yield b.filter(pa.array(clean, pa.bool_()))
         return run

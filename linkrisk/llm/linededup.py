@@ -22,8 +22,10 @@ with their verdict are plain equi-joins, which the engine can split at a hot key
 
 Edge cases: lines of fewer than ``min_words`` words are never compared and stay;
 lines of fewer than ``near_words`` are compared for equality only. A null text
-stays null, an empty one empty. Rows that share an id count as one document. A
-document may end up with an empty text.
+stays null, an empty one empty. A document is known by its id and a 64-bit hash of its
+text: rows that share an id but not the text are documents of their own (in the order of
+these hashes), repeated rows count as one document and end up alike. A document may end
+up with an empty text.
 """
 
 from __future__ import annotations
@@ -113,7 +115,7 @@ def line_table(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
     def run(it: Iterator) -> Iterator:
         import pyarrow as pa
         for batch in it:
-            for b in batches(batch, 500):
+            for b in batches(batch, "lines", 500):
                 split = [t.split(b"\n") if t is not None else [] for t in utf8(b.column(1))]
                 doc = np.repeat(np.arange(len(split)), [len(x) for x in split])
                 number = np.concatenate([np.arange(len(x)) for x in split]) if len(doc) else doc
@@ -141,7 +143,7 @@ def variant_table(texts: DataFrame) -> DataFrame:
     def run(it: Iterator) -> Iterator:
         import pyarrow as pa
         for batch in it:
-            for b in batches(batch, 2000):
+            for b in batches(batch, "lines", 2000):
                 lines = Lines(utf8(b.column(1)))
                 line, j, rest = lines.variants()
                 row = np.concatenate([line, np.arange(b.num_rows)])
@@ -194,10 +196,12 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
                 near_words: int = NEAR_WORDS, dropped_col: str | None = None) -> DataFrame:
     """``df`` with each text freed of later copies of lines; optionally with the
     number of lines that went in ``dropped_col``."""
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    gone = name_of("drop", df.columns)
-    drop = dropped_lines(docs, min_words, near_words).select(F.col("doc_id").alias(name_of("of", df.columns)), F.col("drop").alias(gone))
-    out = df.join(drop, df[id_col].eqNullSafe(drop[drop.columns[0]]), "left").drop(drop.columns[0])
+    gone, of = name_of("drop", df.columns), name_of("of", df.columns)
+    own = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
+    docs = df.select(own.alias("doc_id"), F.col(text_col).alias("text"))
+    drop = dropped_lines(docs, min_words, near_words).select(F.col("doc_id").alias(of), F.col("drop").alias(gone))
+    same = F.col(id_col).eqNullSafe(F.col(of)["id"]) & (F.xxhash64(text_col) == F.col(of)["text"])
+    out = df.join(drop, same, "left").drop(of)
     lines = F.split(F.col(text_col), "\n")
     kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col(gone), i))
     text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))

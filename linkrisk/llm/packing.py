@@ -28,11 +28,10 @@ import numpy as np
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from linkrisk.llm.base import batches, store, utf8
+from linkrisk.llm.base import batches, kept, store, utf8
 
 #: Chunks that a worker remembers; longer chunks are encoded each time.
 CACHE_CHUNKS, CACHE_BYTES = 1_000_000, 40
-_ENCODERS: dict[str, "Encoder"] = {}
 
 
 class Encoder:
@@ -81,9 +80,7 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return kept("packing", path, lambda: Encoder(path))
 
 
 def tokenize(df: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
@@ -99,7 +96,7 @@ def tokenize(df: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col:
         end = np.asarray([end_id], enc.dtype).tobytes()
         width = np.dtype(enc.dtype).itemsize
         for batch in it:
-            for b in batches(batch):
+            for b in batches(batch, "packing"):
                 ids = [x + end for x in enc.encode_many(utf8(b.column(1)))]
                 n = np.array([len(x) // width for x in ids], np.int64)
                 start = at + np.cumsum(n) - n
@@ -133,7 +130,7 @@ def pack(df: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, id_
     def cut(it: Iterator) -> Iterator:
         import pyarrow as pa
         for batch in it:
-            for b in batches(batch, 500):
+            for b in batches(batch, "packing", 500):
                 at, n = b.column(1).to_numpy(), b.column(2).to_numpy()
                 first, last = at // length, (at + n - 1) // length
                 pieces = (last - first + 1).astype(np.int64)

@@ -191,18 +191,18 @@ def hit_filter(lexicon: Lexicon):
 
 # --- features ---------------------------------------------------------------
 
-def count_labels(df: DataFrame, lexicon: Lexicon, text_col: str) -> DataFrame:
-    """``df`` with a column ``labels`` array<int> in place of the text: the number
+def count_labels(df: DataFrame, lexicon: Lexicon, text_col: str, clauses_col: str = "clauses") -> DataFrame:
+    """``df`` with a column ``clauses`` array<int> in place of the text: the number
     of clauses of each label."""
     from pyspark.sql import types as T
     at = df.columns.index(text_col)
-    schema = T.StructType([f for f in df.schema.fields if f.name != text_col] + [T.StructField("clauses", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([f for f in df.schema.fields if f.name != text_col] + [T.StructField(clauses_col, T.ArrayType(T.IntegerType()))])
 
     def run(it: Iterator) -> Iterator:
         import pyarrow as pa
         hits, none = hit_filter(lexicon), [0] * len(LABELS)
         for batch in it:
-            for b in batches(batch):
+            for b in batches(batch, "toxicity"):
                 texts = b.column(at).to_pylist()
                 rows = []
                 for t, hit in zip(texts, hits(texts)):
@@ -283,19 +283,26 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
 
 
 def families(df: DataFrame) -> DataFrame:
-    """``df`` (text first) with ``family``: the least hash of the text's word triples.
-    Near copies mostly share it, so copies do not count as evidence."""
+    """``df`` (text first) with ``family``: the least hash of the text's word triples (of all
+    its words when it has fewer than three). Near copies mostly share it, so copies do not
+    count as evidence."""
     from pyspark.sql import types as T
     schema = T.StructType(df.schema.fields + [T.StructField("family", T.LongType())])
 
     def run(it: Iterator) -> Iterator:
         import pyarrow as pa
         for batch in it:
-            for b in batches(batch):
+            for b in batches(batch, "toxicity"):
                 doc, h, _ = word_hashes([t.encode() if t else None for t in b.column(0).to_pylist()])
-                g = mix(h[:-2] * np.uint64(3) + h[1:-1] * np.uint64(5) + h[2:]) if len(h) > 2 else h[:0]
                 least = np.full(b.num_rows, np.iinfo(np.uint64).max, np.uint64)
-                np.minimum.at(least, doc[:len(g)], g)
+                words = np.bincount(doc, minlength=b.num_rows)
+                if len(h) > 2:
+                    own = doc[2:] == doc[:-2]  # triples within one text
+                    g = mix(h[:-2] * np.uint64(3) + h[1:-1] * np.uint64(5) + h[2:])
+                    np.minimum.at(least, doc[2:][own], g[own])
+                few = np.zeros(b.num_rows, np.uint64)
+                np.add.at(few, doc, h)
+                least = np.where(words > 2, least, mix(few + words.astype(np.uint64)))
                 yield pa.RecordBatch.from_arrays(b.columns + [pa.array(least.view(np.int64))], names=schema.names)
 
     return df.mapInArrow(run, schema)
@@ -310,8 +317,10 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "do
     n = own.select("k").join(lab, "k").count()
     share = min(1.0, sample_rows / max(n, 1))
     coin = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "k"), F.lit(1_000_000)) / 1e6
-    sample = own.filter(coin(1) < share).join(lab, "k").select("text", "toxic", (coin(2) < 0.5).alias("half"))
-    sample = store(families(sample).dropDuplicates(["family"]), "tox-sample")
+    sample = own.filter(coin(1) < share).join(lab, "k").select("text", "toxic", (coin(2) < 0.5).alias("half"), "k")
+    row = F.struct("text", "toxic", "half")  # of a family, the row of least id, then text
+    one = families(sample).groupBy("family").agg(F.min(F.struct("k", F.md5("text").alias("d"), row.alias("r"))).alias("m"))
+    sample = store(one.select("m.r.*"), "tox-sample")
     lexicon = learn_lexicon(sample.filter("half"))
     found = (count_labels(sample.filter("not half").select("text", "toxic"), lexicon, "text")
              .groupBy("clauses", "toxic").agg(F.count("*").alias("rows")).collect())  # at most the sample's rows
@@ -330,7 +339,9 @@ def score_column(clauses: Column, weights: np.ndarray) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
-def score(docs: DataFrame, model: tuple[Lexicon, np.ndarray], text_col: str = "text") -> DataFrame:
-    """``docs`` with the text replaced by clauses (label counts) and score."""
+def score(docs: DataFrame, model: tuple[Lexicon, np.ndarray], text_col: str = "text", clauses_col: str = "clauses",
+          score_col: str = "score") -> DataFrame:
+    """``docs`` with the text replaced by clauses (label counts) and score; give other names
+    where ``docs`` has columns of these (``base.name_of``)."""
     lexicon, weights = model
-    return count_labels(docs, lexicon, text_col).withColumn("score", score_column(F.col("clauses"), weights))
+    return count_labels(docs, lexicon, text_col, clauses_col).withColumn(score_col, score_column(F.col(clauses_col), weights))

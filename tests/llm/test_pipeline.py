@@ -42,13 +42,40 @@ def test_stages(spark):
 
 
 def test_clashing_columns_and_nulls(spark):
+    """Extra columns named like the stages' own keep their values."""
+    extra = ["score", "Clauses", "__text", "__dropped", "row", "drop", "of", "toxicity", "dropped_lines", "scored_text", "kept_row"]
     docs = spark.createDataFrame(
-        [(1, None, None, None, None, 1), (2, "", "en", "s", 0, 2), (None, "a b c d e", None, None, 9, 3), (3, "you idiot", "en", "s", 9, 4)],
-        "doc_id long, text string, lang string, source string, n_chars long, score int")
+        [(1, None, None, None, None, *[f"a{c}" for c in extra]), (2, "", "en", "s", 0, *[f"b{c}" for c in extra]),
+         (None, "a b c d e", None, None, 9, *[None for c in extra]), (3, "you idiot", "en", "s", 9, *[f"d{c}" for c in extra]),
+         (4, "one long line of eight words or more here\nsecond line", "en", "s", 9, *[f"e{c}" for c in extra]),
+         (5, "one long line of eight words or more here\nown words", "en", "s", 9, *[f"f{c}" for c in extra])],
+        "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra))
+    columns, given = docs.columns, {r["doc_id"]: r for r in docs.collect()}
     for _, stage in C.STAGES[:4]:
         docs = C.store(stage(spark, docs, SF), "t")
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "score"]
-    assert {r.doc_id for r in docs.collect()} == {1, 2, None}
+        assert docs.columns == columns
+    out = {r["doc_id"]: r for r in docs.collect()}
+    assert set(out) == {1, 2, None, 4, 5}
+    for k, r in out.items():
+        assert [r[c] for c in extra] == [given[k][c] for c in extra]
+    assert out[5]["text"] == "own words" and out[5]["n_chars"] == 9
+
+
+def test_repeated_rows_and_shared_ids(spark):
+    """Of repeated rows one stays; rows that share an id are judged by their own texts."""
+    long = [f"w{i} x{i} y{i} z{i} line of words number {i}" for i in range(12)]
+    rows = [(1, "\n".join(long[:3])), (1, "\n".join(long[:3])), (5, long[3]), (5, long[4] + " tail"), (2, long[4]),
+            (7, "\n".join(long[5:9])), (7, "\n".join(long[5:9]) + "\n" + long[10])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    lined = C.store(C.drop_repeated_lines(spark, docs.coalesce(1), SF), "t")
+    # repeated rows stay alike; the second text of id 5 is one word from the line of id 2; of
+    # the texts of id 7, the one that counts as the later loses the lines of the other
+    got = sorted((r["doc_id"], r["text"]) for r in lined.collect())
+    assert got[:4] == sorted([(1, "\n".join(long[:3]))] * 2 + [(2, long[4]), (5, long[3])])
+    assert got[4:] in ([(7, long[10]), (7, "\n".join(long[5:9]))], [(7, "\n".join(long[5:9] + long[10:11]))])
+    single = C.keep_one_of_each_group(spark, C.store(docs.coalesce(1), "t"), SF)
+    # five of the six five-word sequences of the second text of id 5 are all those of id 2
+    assert sorted((r["doc_id"], r["text"]) for r in single.collect()) == sorted(set(rows) - {rows[3]})
 
 
 def test_no_stage_reads_a_prefix():

@@ -4,6 +4,8 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from linkrisk.llm import toxicity as T
 from linkrisk.llm.queries import held_out
 
@@ -66,3 +68,20 @@ def test_hits_hold_whenever_a_clause_does(around, word):
     text = "well " + around.format(word)
     assert T.clause_labels(text, LEX) and T.hit_filter(LEX)([text]).tolist() == [True]
     assert T.hit_filter(LEX)(["well " + around.format("friend"), None]).tolist() == [False, False]
+
+
+def test_families_do_not_depend_on_neighbours_or_layout(spark, rng):
+    """A text's family is its own: it is the same whatever texts stand next to it, and the
+    model learnt is the same over any partitioning."""
+    texts = ["a b c", "x y", "p q", "x y", "", None, "one", "a b c d e f"] + [" ".join(rng.choices("abcdefgh", k=rng.randint(0, 9))) for _ in range(40)]
+    seen = {}
+    for _ in range(3):
+        rng.shuffle(texts)
+        df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+        for r in T.families(df).collect():
+            assert seen.setdefault(r["text"], r["family"]) == r["family"]
+    assert len({seen["a b c"], seen["x y"], seen["p q"], seen["one"]}) == 4
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    models = [T.fit(d, labels, F.col("doc_id") % 2 == 0) for d in (docs.coalesce(1), docs.repartition(7))]
+    assert models[0][0] == models[1][0] and (abs(models[0][1] - models[1][1]) < 1e-9).all()
