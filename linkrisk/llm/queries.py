@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkrisk.llm import (convrepair, decontamination, langid, linededup, lm, ngramjoin, onebit, packing, periodic, pii,
-                          reputation, sharding, toxicity)
+                          reputation, sharding, sql, toxicity)
 from linkrisk.llm.base import read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -134,9 +134,10 @@ OPS = [op1_lm_score, op2_line_dedup, op3_url_reputation, op4_pack, op5_toxicity,
        op8_shard, op9_pii, op10_nearest, op11_periodic_runs, op12_language, op13_conversation_repair, pipeline]
 
 
-def register(queries: dict, sql: dict) -> None:
+def register(queries: dict, oracles: dict) -> None:
     queries.update({f.__name__: f for f in OPS})
-    sql.update(SQL)
+    oracles.update(SQL)
 
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op11_periodic_runs": sql.periodic_sql(), "op12_language": sql.language_sql(langid.SIZE),
+                       "op13_conversation_repair": sql.conversation_sql()}
