@@ -24,7 +24,7 @@ from linkrisk.constants import (
     REPORT_GOOD_FEATURES, REPORT_RISK_RULES,
 )
 from linkrisk.functions.suffix import with_registered_domain
-from linkrisk.functions.urlparts import drop_parts, part_names, stage, with_url_parts
+from linkrisk.functions.urlparts import part_names, stage, with_url_parts
 
 _DIGIT = DIGIT_CLASS  # what str.isdigit accepts
 _IPV4 = r"^\p{Nd}{1,3}(?:\.\p{Nd}{1,3}){3}$"
@@ -87,14 +87,6 @@ def _least_lev(label_sql: str) -> str:
     return "least(" + ", ".join(f"levenshtein({label_sql}, '{b}')" for b in BRAND_NAMES) + ")"
 
 
-def _any(cols: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, cols)
-
-
-def _sum(cols: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, cols)
-
-
 def _b(c: Column) -> Column:
     return c.cast("int")
 

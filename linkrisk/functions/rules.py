@@ -82,10 +82,6 @@ def verdict(score: Column) -> Column:
             .otherwise(F.lit("Safe")))
 
 
-def with_verdict(df: DataFrame, score: str = "score") -> DataFrame:
-    return df.withColumn("verdict", verdict(F.col(score)))
-
-
 def result_rows(df: DataFrame, score: str = "score", raw: str = "raw_score", rf: str = "rf_score") -> DataFrame:
     """Rounded result columns (4 decimals; percent to 1 decimal)."""
     from linkrisk.functions.features import round_even

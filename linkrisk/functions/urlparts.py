@@ -158,9 +158,5 @@ PART_COLUMNS = ["scheme", "netloc", "host", "port", "path", "query", "fragment",
                 "bad_netloc", "port_error", "port_num"]
 
 
-def drop_parts(df: DataFrame, prefix: str = "u_") -> DataFrame:
-    return df.drop(*[prefix + c for c in PART_COLUMNS])
-
-
 def part_names(prefix: str) -> tuple[str, ...]:
     return tuple(prefix + c for c in PART_COLUMNS)

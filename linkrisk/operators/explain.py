@@ -275,9 +275,11 @@ def global_importance(phi: DataFrame, cols: list[str] = FEATURE_COLS, prefix: st
 
 def error_reasons(df: DataFrame, cols: list[str] = FEATURE_COLS, prefix: str = "phi_", k: int = 2) -> DataFrame:
     """``name(+0.123) | name(-0.045)``: the top-k contributions per row."""
+    from linkrisk.functions.features import round_even
     r = top_reasons(df, k, cols, prefix, "_top")
+    # rounded before it is printed: Java prints halves up, Python the nearest to the binary value
     text = F.concat_ws(" | ", F.transform(F.col("_top"), lambda s: F.format_string(
-        "%s(%+.3f)", s["feature"], s["contribution"])))
+        "%s(%+.3f)", s["feature"], round_even(s["contribution"], 3))))
     return r.withColumn("top_shap_reasons", text).drop("_top")
 
 

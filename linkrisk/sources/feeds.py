@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,6 +77,22 @@ def read_feed_json(spark: SparkSession, path: str, with_label: bool = False) ->
     return out.withColumn("label", F.lit(1)) if with_label else out
 
 
+def read_feed_json_split(spark: SparkSession, path: str, with_label: bool = False) -> DataFrame:
+    """A5 for large uncompressed arrays of flat objects: the text is read in records that end at
+    a closing brace, so one array is as many splits as its size asks for (``read_feed_json``
+    parses each file as a whole, in one task). A record that is no flat object (nested, or a brace in
+    a text) fails the read instead of being lost.
+    """
+    pieces = spark.read.option("lineSep", "}").text(path).select(F.regexp_replace("value", r"^[\s,\[\]]+", "").alias("piece"))
+    schema = T.StructType([*FEED_SCHEMA.fields, T.StructField("_corrupt", T.StringType())])
+    rec = F.from_json(F.concat("piece", F.lit("}")), schema, {"columnNameOfCorruptRecord": "_corrupt"})
+    df = pieces.filter("piece != ''").select(rec.alias("r"))
+    broken = F.col("r").isNull() | F.col("r._corrupt").isNotNull()
+    whole = F.when(broken, F.raise_error(F.lit("a feed record is no flat JSON object: read it with read_feed_json")).cast("boolean")).otherwise(True)
+    out = df.filter(whole & (F.col("r.verified") == "yes") & (F.col("r.online") == "yes")).select("r.url")
+    return out.withColumn("label", F.lit(1)) if with_label else out
+
+
 def seed_legit_urls(df: DataFrame, url: str = "url") -> DataFrame:
     """A user-supplied curated legit table, distinct."""
     return df.select(F.col(url).cast("string").alias("url")).dropDuplicates(["url"])
@@ -95,9 +111,10 @@ READERS = {
     "url_lines": read_url_lines,
     "verified_csv": read_verified_csv,
     "feed_json": read_feed_json,
+    "feed_json_split": read_feed_json_split,
     "ranked_domains": read_ranked_domains,
 }
-PHISHING_KINDS = ("phishing_csv", "url_lines", "verified_csv", "feed_json")
+PHISHING_KINDS = ("phishing_csv", "url_lines", "verified_csv", "feed_json", "feed_json_split")
 LEGIT_KINDS = ("ranked_domains",)
 
 
@@ -125,6 +142,24 @@ def read_all(spark: SparkSession, sources: list[tuple[str, str]], extra_legit: D
     return p, lg, counts.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
+def read_all_observed(spark: SparkSession, sources: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame, dict[str, Observation]]:
+    """A7 + D22 in the same pass: the present sources of each class, and one observation per
+    source. A source's rows are counted while whatever reads the frames runs (``get["n"]``
+    afterwards): no job of its own, and no second scan.
+    """
+    frames: dict[bool, list[DataFrame]] = {True: [], False: []}
+    seen = {}
+    for kind, path in sources:
+        if not path_exists(spark, path):
+            continue
+        name = f"{kind}:{path}"
+        seen[name] = Observation(name)
+        frames[kind in PHISHING_KINDS].append(READERS[kind](spark, path).select("url").observe(seen[name], F.count(F.lit(1)).alias("n")))
+    empty = spark.createDataFrame([], "url string")
+    phish, legit = (reduce(lambda a, b: a.unionByName(b), frames[k]) if frames[k] else empty for k in (True, False))
+    return phish, legit, seen
+
+
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "parquet",
                 partition_by: list[str] | None = None) -> None:
     """Dataset / feature / campaign / metrics / error sinks."""

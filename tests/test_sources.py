@@ -58,3 +58,46 @@ def test_write_table_roundtrip(spark):
     feeds.write_table(df, f"{d}/csv", fmt="csv")
     assert spark.read.parquet(f"{d}/ds").count() == 2
     assert spark.read.option("header", True).csv(f"{d}/csv").filter(F.col("label") == "1").count() == 1
+
+
+def test_split_feed_reader(spark):
+    """Arrays in any layout, read in records; a nested record fails the read."""
+    import pytest
+    d = tempfile.mkdtemp(prefix="linkrisk-split-")
+    rows = [{"url": f"http://h{i}.tk/a?b=[{i}],x", "verified": "yes" if i % 3 else "no", "online": "yes" if i % 4 else "no"} for i in range(200)]
+    for name, indent in (("flat", None), ("pretty", 2)):
+        with open(os.path.join(d, name + ".json"), "w") as f:
+            json.dump(rows, f, indent=indent)
+    want = sorted(r["url"] for r in rows if r["verified"] == r["online"] == "yes")
+    for name in ("flat", "pretty"):
+        path = os.path.join(d, name + ".json")
+        assert sorted(r.url for r in feeds.read_feed_json_split(spark, path).collect()) == want
+        assert sorted(r.url for r in feeds.read_feed_json(spark, path).collect()) == want
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        df = feeds.read_feed_json_split(spark, os.path.join(d, "flat.json"))
+        assert df.rdd.getNumPartitions() > 3 and sorted(r.url for r in df.collect()) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    with open(os.path.join(d, "nested.json"), "w") as f:
+        json.dump([{"url": "http://a.tk/", "verified": "yes", "online": "yes", "details": [{"ip": "1.2.3.4"}]}], f)
+    with pytest.raises(Exception, match="no flat JSON object"):
+        feeds.read_feed_json_split(spark, os.path.join(d, "nested.json")).collect()
+
+
+def test_error_reason_text_prints_as_python(spark):
+    from linkrisk.operators.explain import error_reasons
+    values = [0.1235, -0.0625, 0.0005, 1.0015, 2.5, -0.0015]
+    df = spark.createDataFrame([(v, 0.0) for v in values], "phi_a double, phi_b double")
+    got = [r["top_shap_reasons"] for r in error_reasons(df, ["a", "b"], k=1).collect()]
+    assert got == [f"a({round(v, 4):+.3f})" for v in values]
+
+
+def test_sources_are_counted_in_the_reading_pass(spark):
+    d = _files()
+    sources = [("phishing_csv", f"{d}/phish.csv"), ("url_lines", f"{d}/lines.txt"), ("ranked_domains", f"{d}/ranked.csv"), ("feed_json", f"{d}/none.json")]
+    phish, legit, seen = feeds.read_all_observed(spark, sources)
+    phish.unionByName(legit).write.mode("overwrite").parquet(os.path.join(d, "out"))
+    assert {k.split(":")[0]: v.get["n"] for k, v in seen.items()} == {"phishing_csv": 2, "url_lines": 2, "ranked_domains": 2}
+    assert spark.read.parquet(os.path.join(d, "out")).count() == 6
