@@ -124,3 +124,17 @@ def test_bracketed_hosts_like_stdlib(spark):
         except ValueError:
             ok = False
         assert r["parse_error"] == (not ok), u
+
+
+def test_generated_methods_of_the_feature_stage_are_compiled(spark):
+    """The JVM interprets methods of more than 8,000 bytes, which made this stage slow."""
+    import __spark_entry__ as entry
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for name in ("min_brand_distance", "rule_score", "result_rows", "blended_result_rows", "verdicts"):
+            stages = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().debug().codegenToSeq()
+            sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+            assert max(sizes) <= 8000, (name, sizes)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
