@@ -14,8 +14,8 @@ Positions come from the lengths between matches: splitting a text at a pattern
 gives the stretches between the same leftmost, non-overlapping matches.
 
 Scale: texts are read in one narrow pass; what is kept per document is its spans
-and proposals. Trees are fitted on at most ``FIT_ROWS`` (about) sampled matches,
-a documented bound; all documents are judged.
+and proposals. The trees are fitted and the threshold is calibrated on every base match,
+and all documents are judged.
 
 Edge cases: a null text is empty. Empty texts and texts without a match have no
 spans. Without both accepted and dropped matches to learn from, nothing is added.
@@ -52,7 +52,7 @@ LOOSE = {
 }
 HINTS = r"(?i)(?:mail|phone|tel|call|fax|mobile|card|visa|credit|account|ip|host|server|contact)[^A-Za-z0-9]*$"
 FEATURES = ("kind_no", "chars", "digits", "groups", "luhn", "octets", "plus", "at", "before", "after", "hint", "first_digit")
-FIT_ROWS, PRECISION, SEED = 20_000, 0.99, 7
+PRECISION, SEED = 0.99, 7
 
 
 def _digits(s: Column) -> Column:
@@ -155,18 +155,15 @@ def described(c: DataFrame) -> DataFrame:
         "hint": F.col("pre").rlike(HINTS).cast("double"), "first_digit": F.coalesce(F.substring(digits, 1, 1).try_cast("double"), F.lit(-1.0))})
 
 
-def fit_trees(candidates: DataFrame, fit_rows: int = FIT_ROWS, precision: float = PRECISION):
-    """(model, threshold) from base matches, or None without both kinds of them."""
+def fit_trees(candidates: DataFrame, precision: float = PRECISION):
+    """(model, threshold) from all base matches, or None without both kinds of them."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
     known = candidates.filter("base").withColumn("label", F.col("ok").cast("double"))
     n = known.groupBy("label").count().collect()
-    total = sum(r["count"] for r in n)
     if len(n) < 2 or min(r["count"] for r in n) < 10:
         return None
-    key = F.xxhash64(F.lit(SEED), "row", "kind", "start")
-    sample = known.filter(F.pmod(key, F.lit(1_000_000)) < int(1e6 * min(1.0, fit_rows / total)))
-    data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(described(sample))
+    data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(described(known))
     data = store(data.select("features", "label", (F.pmod(F.xxhash64(F.lit(SEED + 1), "row"), F.lit(4)) == 0).alias("held")), "pii-fit")
     if data.filter("not held").select("label").distinct().count() < 2:
         return None
@@ -186,7 +183,7 @@ def _probability(model, df: DataFrame) -> DataFrame:
     return model.transform(df).withColumn("p", vector_to_array("probability")[1])
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS,
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              precision: float = PRECISION) -> DataFrame:
     """(doc_id, base, added): arrays of (kind_no, start, end), each in order of kind
     and start. ``base`` holds the rules' spans, ``added`` those the trees accept."""
@@ -196,7 +193,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
                                  x["start"].alias("start"), x["end"].alias("end"))
     kept = F.array_sort(F.transform(F.filter("spans", lambda x: x["base"] & x["ok"]), as_span))
     rows = rows.withColumn("kept", kept)
-    fitted = fit_trees(rows.select("row", F.inline("spans")), fit_rows, precision)
+    fitted = fit_trees(rows.select("row", F.inline("spans")), precision)
     nothing = F.array().cast(rows.schema["kept"].dataType)
     if fitted is None:
         return rows.select("doc_id", F.col("kept").alias("base"), nothing.alias("added"))

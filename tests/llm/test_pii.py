@@ -68,3 +68,14 @@ def test_redact_and_edges(spark):
     e = P.find_pii(spark.createDataFrame([], "doc_id string, text string"))
     assert e.count() == 0
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(F.lit("").cast("binary"), 256)).first()[0]
+
+
+def test_trees_learn_from_every_base_match(spark, monkeypatch):
+    from linkrisk.llm import pii
+    kept, real = {}, pii.store
+    monkeypatch.setattr(pii, "store", lambda df, name: kept.setdefault(name, real(df, name)))
+    docs = spark.range(300).selectExpr(
+        "id AS doc_id", "array_join(transform(sequence(1, 75), i -> concat('10.0.', id, '.', i, ' and')), ' ') AS text")
+    pii.find_pii(docs).count()
+    matches = kept["pii-spans"].selectExpr("explode(spans) AS s").filter("s.base").count()
+    assert matches > 20_000 and kept["pii-fit"].count() == matches
