@@ -162,3 +162,14 @@ def test_cross_validation_covers_every_family_and_row(spark):
         tp, fp, fn = ((g.label == y) & (g.pred == p) for y, p in ((1, 1), (0, 1), (1, 0)))
         assert got[m, f] == 2 * tp.sum() / (2 * tp.sum() + fp.sum() + fn.sum())
     assert min(got.values()) > 0.6
+
+
+def test_only_keys_go_through_the_split(spark, monkeypatch):
+    from linkrisk.operators import split
+    from linkrisk.plans import model_queries as MQ
+    given, real = [], split.stratified_split
+    monkeypatch.setattr(split, "stratified_split", lambda df, *a, **k: given.append(df.columns) or real(df, *a, **k))
+    monkeypatch.setattr(MQ, "_MEMO", {})
+    p = MQ.prepared(spark, "/root/testdata/sf0.001")
+    assert [sorted(c) for c in given] == [["label", "url"]]
+    assert p["train"].count() + p["test"].count() == p["features"].count() > 0
