@@ -46,3 +46,29 @@ def test_sf(spark):
     tok, enc = Tokenizer.from_file(tokenizer_path()), P.encoder(tokenizer_path())
     for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect():
         assert np.frombuffer(enc.encode(r.text.encode()), enc.dtype).tolist() == tok.encode(r.text, add_special_tokens=False).ids
+
+
+def test_new_chunks_go_to_the_tokenizer_together():
+    class Counting:
+        texts = 0
+
+        def __init__(self, tok):
+            self.tok = tok
+
+        def encode_batch(self, texts, **kw):
+            Counting.texts += len(texts)
+            return self.tok.encode_batch(texts, **kw)
+
+        def encode_batch_fast(self, texts, **kw):
+            Counting.texts += len(texts)
+            return self.tok.encode_batch_fast(texts, **kw)
+
+    enc = P.Encoder(tokenizer_path())
+    plain = enc.tok
+    enc.tok = Counting(plain)
+    texts = [" ".join(f"w{i}é́x{j}." for j in range(50)) for i in range(40)]
+    want = lambda t: np.asarray(plain.encode(t, add_special_tokens=False).ids, enc.dtype).tobytes()
+    assert enc.encode_many([t.encode() for t in texts]) == [want(t) for t in texts]
+    assert Counting.texts <= 2000 // P.TOGETHER + 1  # 2,000 chunks
+    odd = "a <|endoftext|> b c<|startoftext|>d ́e 🙂 " + texts[0].upper()
+    assert enc.encode(odd.encode()) == want(odd)
