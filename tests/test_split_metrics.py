@@ -173,3 +173,30 @@ def test_only_keys_go_through_the_split(spark, monkeypatch):
     p = MQ.prepared(spark, "/root/testdata/sf0.001")
     assert [sorted(c) for c in given] == [["label", "url"]]
     assert p["train"].count() + p["test"].count() == p["features"].count() > 0
+
+
+def test_a_query_fits_the_families_it_reads_once(spark, monkeypatch):
+    import numpy as np
+
+    from linkrisk.constants import FEATURE_COLS
+    from linkrisk.operators import models as Mo
+    from linkrisk.plans import model_queries as MQ
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(200):
+        x = rng.normal(size=len(FEATURE_COLS))
+        rows.append((f"u{i}", int(x[0] > 0), i % 5 == 0, *[float(v) for v in x]))
+    df = spark.createDataFrame(rows, "url string, label int, is_test boolean, " + ", ".join(f"{c} double" for c in FEATURE_COLS))
+    p = {"features": df, "scaled": df, "train": df.filter("not is_test").drop("is_test"), "test": df.filter("is_test").drop("is_test")}
+    given, compare, families = [], Mo.train_compare, Mo.estimators
+    monkeypatch.setattr(MQ, "_MEMO", {})
+    monkeypatch.setattr(MQ, "prepared", lambda *a: p)
+    monkeypatch.setattr(Mo, "estimators", lambda n: families(n, fast=True))
+    monkeypatch.setattr(Mo, "train_compare", lambda *a, **k: given.append(list(k["models"])) or compare(*a, **k))
+    assert MQ.q_linear_shap(spark, "x").count() == 40
+    assert given == [["logistic_regression"]]
+    assert MQ.q_feature_importance(spark, "x").count() == len(FEATURE_COLS)
+    assert given == [["logistic_regression"], ["random_forest"]]
+    one_by_one = MQ.q_train_compare(spark, "x").orderBy("ordinal").collect()
+    assert given == [[f] for f in Mo.FAMILIES]
+    assert one_by_one == compare(p["train"], p["test"], models=families(160, fast=True))[1].orderBy("ordinal").collect()
