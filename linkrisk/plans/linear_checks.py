@@ -33,7 +33,7 @@ def contributions(spark, sf_dir) -> DataFrame:
         f = merged_features(spark, sf_dir).select("url", "label", *FEATURE_COLS)
         phi = cut_lineage(X.linear_shap(f, COEF, MEAN))
         total = sum((F.col(f"phi_{c}") for c in FEATURE_COLS), F.lit(0.0))
-        _MEMO[key] = cut_lineage(phi.withColumn("margin", total)).withColumn("pred", (F.col("margin") > 0).cast("int"))
+        _MEMO[key] = phi.withColumn("margin", total).withColumn("pred", (F.col("margin") > 0).cast("int"))
     return _MEMO[key]
 
 
