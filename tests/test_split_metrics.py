@@ -200,3 +200,36 @@ def test_a_query_fits_the_families_it_reads_once(spark, monkeypatch):
     one_by_one = MQ.q_train_compare(spark, "x").orderBy("ordinal").collect()
     assert given == [[f] for f in Mo.FAMILIES]
     assert one_by_one == compare(p["train"], p["test"], models=families(160, fast=True))[1].orderBy("ordinal").collect()
+
+
+def test_error_table_scores_the_test_rows_once(spark, monkeypatch):
+    from linkrisk.constants import FEATURE_COLS
+    from linkrisk.operators import models as Mo
+    from linkrisk.plans import model_queries as MQ
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(400):
+        x = rng.normal(size=len(FEATURE_COLS))
+        rows.append((f"u{i}", int(x[0] + 2 * rng.normal() > 0), i % 2 == 0, *[float(v) for v in x]))
+    z = spark.createDataFrame(rows, "url string, label int, is_test boolean, " + ", ".join(f"{c} double" for c in FEATURE_COLS))
+    raw = z.select("url", "label", "is_test", *[(F.col(c) + 100).alias(c) for c in FEATURE_COLS])
+    p = {"features": raw, "scaled": z, "train": z.filter("not is_test").drop("is_test"), "test": z.filter("is_test").drop("is_test")}
+    scored, score = [], Mo.score
+    monkeypatch.setattr(MQ, "_MEMO", {})
+    monkeypatch.setattr(MQ, "prepared", lambda *a: p)
+    monkeypatch.setattr(MQ, "best_model", lambda *a: "logistic_regression")
+    model = MQ.fitted_model(spark, "x", "logistic_regression")
+    monkeypatch.setattr(Mo, "score", lambda *a: scored.append(a[2:]) or score(*a))
+    t = MQ.q_error_table(spark, "x")
+    assert scored == [("rf_score", "pred")]
+    plan = t._jdf.queryExecution().optimizedPlan().toString()
+    assert "UDF" not in plan  # the model does not run again in what reads the errors
+    monkeypatch.undo()
+    s = score(Mo.assemble(p["test"]), model, "rf_score", "pred").toPandas()
+    wrong = s[s.label != s.pred].sort_values("url")
+    want = {u for _, g in wrong.groupby("pred") for u in g.url[:20]}
+    got = t.toPandas()
+    assert set(got.url) == want and len(got) == len(want) > 20
+    z0 = s.set_index("url")[FEATURE_COLS[0]]
+    assert all(r[FEATURE_COLS[0]] == pytest.approx(z0[r.url] + 100) for _, r in got.iterrows())
+    assert set(got.error_type) == {"False Positive", "False Negative"} and got.top_shap_reasons.str.contains(r"\(").all()
