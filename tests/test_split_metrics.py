@@ -164,6 +164,23 @@ def test_cross_validation_covers_every_family_and_row(spark):
     assert min(got.values()) > 0.6
 
 
+def test_models_score_after_the_session_has_observed_a_query(spark):
+    from pyspark.sql import Observation
+
+    from linkrisk.constants import FEATURE_COLS
+    from linkrisk.operators import models as Mo
+    seen = Observation()
+    spark.range(5).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 5}
+    rng = np.random.default_rng(3)
+    rows = [(f"u{i}", i % 2, *[float(v) for v in rng.normal(size=len(FEATURE_COLS)) + i % 2]) for i in range(120)]
+    df = spark.createDataFrame(rows, "url string, label int, " + ", ".join(f"{c} double" for c in FEATURE_COLS))
+    fitted, metrics = Mo.train_compare(df, df, fast=True)
+    assert metrics.count() == 3 and metrics.agg(F.min("f1")).first()[0] > 0.9
+    few = lambda n: {"logistic_regression": Mo.estimators(n, fast=True)["logistic_regression"]}
+    assert Mo.out_of_fold_scores(df, few, k=2).count() == 120
+
+
 def test_only_keys_go_through_the_split(spark, monkeypatch):
     from linkrisk.operators import split
     from linkrisk.plans import model_queries as MQ
