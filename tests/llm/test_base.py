@@ -23,3 +23,20 @@ def test_kept_objects_go_with_the_next_operator():
 
 def test_names_do_not_clash_in_any_case():
     assert B.name_of("row", ["ROW", "row_"]) == "row__"
+
+
+def test_shuffle_files_go_with_a_stored_query(spark):
+    """Nothing of the query's shuffle is left when the result is stored; the setting is as before."""
+    import time
+    from pathlib import Path
+    local = Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    before = {f.name for f in local.rglob("shuffle_*.data")}
+    kept = spark.conf.get(B.CLEANUP, None)
+    out = B.store(spark.range(1000).groupBy((B.F.col("id") % 7).alias("k")).count(), "cleaned")
+    assert len(out.collect()) == 7 and spark.conf.get(B.CLEANUP, None) == kept
+    fresh = lambda: {f.name for f in local.rglob("shuffle_*.data")} - before
+    for _ in range(50):
+        if not fresh():
+            break
+        time.sleep(0.2)
+    assert not fresh()
